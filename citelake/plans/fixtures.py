@@ -59,7 +59,7 @@ _TEXT = (
 MENTION_FACTS = {
     "doc_id": "l_orderkey",
     "mention_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'"
-    " || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)",
+    " || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_quantity AS INT) AS STRING)",
     "agent": "CASE l_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END",
     "kind": "CASE l_linenumber % 3 WHEN 0 THEN 'ley' WHEN 1 THEN 'articulo' ELSE 'sigla' END",
     "text": f"CASE WHEN l_linestatus = 'O' THEN upper({_TEXT}) || ' ' ELSE {_TEXT} END",
@@ -69,7 +69,8 @@ MENTION_FACTS = {
     "validated": "l_returnflag <> 'R'",
     "boe_id": f"CASE WHEN l_returnflag <> 'R' THEN 'BOE-A-2015-' || {_LAW_NO} END",
     "round": "l_linenumber % 3 + 1",
-    "start": "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey",
+    "start": "CAST(l_linenumber AS BIGINT) * 100000000000000 + l_partkey * 1000000 + l_suppkey * 100"
+    " + CAST(l_quantity AS BIGINT)",
 }
 
 # -- law index over part --------------------------------------------------------

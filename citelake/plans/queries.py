@@ -20,7 +20,7 @@ from citelake.streaming import admission, intake, jobs
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-MENTION_WIDTH = 1_000_000_000  # one line number of a document
+MENTION_WIDTH = 100_000_000_000_000  # one line number of a document
 TEXT_WIDTH = 50_000  # characters
 BLOCK_WIDTH = 1_000  # index blocks
 
@@ -517,7 +517,7 @@ def is_acronym(spark, d):
 
 def _acronym_mentions(spark, d):
     part = fx.read(spark, d, "part")
-    lines = fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return fx.project(lines.join(part, F.col("l_partkey") == F.col("p_partkey")), fx.ACRONYM_MENTIONS)
 
 
