@@ -44,7 +44,7 @@ def new_texts_squeezed(new: DataFrame, previous: DataFrame) -> DataFrame:
     return new_texts(new, previous, squeeze)
 
 
-def greedy_first(rows: DataFrame, values: Column, max_passes: int = 1000) -> DataFrame:
+def greedy_first(rows: DataFrame, values: Column) -> DataFrame:
     """In document order, keep a row when none of its ``values`` was brought in by a kept row.
 
     The order-dependent rule is run in passes over whole tables: a row that is the first holder of
@@ -53,32 +53,30 @@ def greedy_first(rows: DataFrame, values: Column, max_passes: int = 1000) -> Dat
     Nulls in ``values`` are no values. The order column is ``start``; it is unique in a document.
     """
     wanted = rows.withColumn("__values", F.array_distinct(F.array_compact(values)))
-    # a later row with the very same values can never be kept
-    items = keep_first(wanted, ["doc_id", "__values"], [F.col("start")]).select("doc_id", "start", "__values")
-    open_rows = cut_lineage(items)
-    kept = None
-    for _ in range(max_passes):
-        holders = open_rows.select("doc_id", "start", F.explode_outer("__values").alias("__value"))
+    # a later row with the very same values can never be kept; a row without values always is
+    items = keep_first(wanted.where(F.size("__values") > 0), ["doc_id", "__values"], [F.col("start")])
+    open_rows = cut_lineage(items.select("doc_id", "start", "__values"))
+    kept = wanted.where(F.size("__values") == 0).select("doc_id", "start")
+    while not open_rows.isEmpty():
+        holders = open_rows.select("doc_id", "start", "__values", F.explode("__values").alias("__value"))
         first = holders.groupBy("doc_id", "__value").agg(F.min("start").alias("__first"))
-        holds_all = (
-            holders.join(first.withColumnRenamed("doc_id", "__d").withColumnRenamed("__value", "__v"),
-                         (F.col("doc_id") == F.col("__d")) & F.col("__value").eqNullSafe(F.col("__v")), "left")
+        winners = cut_lineage(
+            holders.join(first, ["doc_id", "__value"])
             .groupBy("doc_id", "start")
-            .agg(F.bool_and((F.col("__first") == F.col("start")) | F.col("__value").isNull()).alias("__free"))
+            .agg(F.bool_and(F.col("__first") == F.col("start")).alias("__free"), F.any_value("__values").alias("__values"))
             .where("__free")
-            .select("doc_id", "start")
+            .select("doc_id", "start", "__values")
         )
-        winners = cut_lineage(holds_all)
-        kept = winners if kept is None else kept.unionByName(winners)
-        taken = holders.join(winners, ["doc_id", "start"], "left_semi").where(F.col("__value").isNotNull()).select(
-            "doc_id", "__value"
-        ).distinct()
-        losers = holders.join(taken, ["doc_id", "__value"], "left_semi").select("doc_id", "start").distinct()
+        kept = kept.unionByName(winners.select("doc_id", "start"))
+        # the winners hold their own values, so this closes them together with their rivals
+        taken = winners.select("doc_id", F.explode("__values").alias("__value"), F.lit(True).alias("__taken"))
         open_rows = cut_lineage(
-            open_rows.join(losers, ["doc_id", "start"], "left_anti").join(winners, ["doc_id", "start"], "left_anti")
+            holders.join(taken, ["doc_id", "__value"], "left")
+            .groupBy("doc_id", "start")
+            .agg(F.count("__taken").alias("__hits"), F.any_value("__values").alias("__values"))
+            .where(F.col("__hits") == 0)
+            .select("doc_id", "start", "__values")
         )
-        if open_rows.isEmpty():
-            break
     return rows.join(kept, ["doc_id", "start"], "left_semi")
 
 

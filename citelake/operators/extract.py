@@ -152,9 +152,12 @@ def explode_articles(mentions: DataFrame, article: str = "article", limit: int |
     return mentions.select("*", F.posexplode(numbers).alias("article_idx", "article_one"))
 
 
-def position_in(text: Column, mention: Column) -> Column:
-    """1-based place of a mention: as written in any case, else with loose dots and spaces; 0 if absent."""
-    literal = F.position(F.lower(mention), F.lower(text))
+def position_in(text: Column, lowered: Column, mention: Column) -> Column:
+    """1-based place of a mention: as written in any case, else with loose dots and spaces; 0 if absent.
+
+    ``lowered`` is the text in lower case, computed once per document by the caller.
+    """
+    literal = F.position(F.lower(mention), lowered)
     escaped = F.regexp_replace(mention, r"([\\\[\](){}*+?^$|])", r"\\$1")
     loose = F.concat(
         F.lit(FOLD),
@@ -180,11 +183,12 @@ def context_window(text: Column, place: Column, window: int = 1500) -> Column:
 
 def with_context(docs: DataFrame, window: int = 1500) -> DataFrame:
     """Mentions with their context. The text stays in its row; no text is shuffled."""
-    mentions = extract(docs, keep=("text",))
-    place = position_in(F.col("doc_text"), F.col("text"))
-    return mentions.withColumn("place", place).withColumn(
+    lowered = docs.withColumn("low", F.lower("text"))
+    mentions = extract(lowered, keep=("text", "low"))
+    placed = mentions.withColumn("place", position_in(F.col("doc_text"), F.col("low"), F.col("text")))
+    return placed.withColumn(
         "context", context_window(F.col("doc_text"), F.col("place"), window)
-    ).drop("doc_text")
+    ).drop("doc_text", "low")
 
 
 def drop_noise(mentions: DataFrame) -> DataFrame:

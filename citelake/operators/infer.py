@@ -20,33 +20,36 @@ def detect_concepts(docs: DataFrame, concepts: list[str], cited: DataFrame | Non
     return found.join(covered, ["doc_id", "concept"], "left_anti")
 
 
-def concept_ranges(found: DataFrame, concept_map: DataFrame, minimum: int = 70) -> DataFrame:
-    """Article range of each concept: one row per article.
+def spread_ranges(concept_map: DataFrame, minimum: int = 70) -> DataFrame:
+    """One row per concept and article of its range.
 
     ``concept_map(concept, law, boe_id, first_article, last_article, confidence)``; entries below
     ``minimum`` confidence or without numeric bounds are left out.
     """
     first, last = F.col("first_article").try_cast("int"), F.col("last_article").try_cast("int")
     usable = concept_map.where((F.col("confidence") >= minimum) & first.isNotNull() & last.isNotNull() & (first <= last))
-    spread = usable.select("concept", "law", "boe_id", "confidence", F.explode(F.transform(F.sequence(first, last), lambda n: n.cast("string"))).alias("article"))
-    return found.join(spread, "concept")
+    articles = F.transform(F.sequence(first, last), lambda n: n.cast("string"))
+    return usable.select("concept", "law", "boe_id", "confidence", F.explode(articles).alias("article"))
+
+
+def concept_ranges(found: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Article ranges of the concepts found in each document."""
+    return found.join(ranges, "concept")
 
 
 def validate_ranges(ranges: DataFrame, law_articles: DataFrame | None, share: float = 0.5) -> DataFrame:
     """Keep articles that exist, where at least ``share`` of the range does. Without an index all stay.
 
-    The check depends on concept and law only, so it is made once per pair, not once per document.
+    The check depends on concept and law only: make it on the ranges, before documents are joined.
     """
     if law_articles is None:
         return ranges
-    pairs = ranges.select("concept", "boe_id", "article").distinct()
     real = law_articles.select("boe_id", F.col("number").alias("article")).distinct().withColumn("__real", F.lit(1))
-    marked = pairs.join(real, ["boe_id", "article"], "left")
+    marked = ranges.join(real, ["boe_id", "article"], "left")
     good = marked.groupBy("concept", "boe_id").agg(
         (F.count("__real") / F.count(F.lit(1))).alias("__share"), F.count("__real").alias("__n")
     ).where((F.col("__n") > 0) & (F.col("__share") >= share))
-    kept = marked.where(F.col("__real").isNotNull()).join(good, ["concept", "boe_id"], "left_semi").drop("__real")
-    return ranges.join(kept, ["concept", "boe_id", "article"], "left_semi")
+    return marked.where(F.col("__real").isNotNull()).join(good, ["concept", "boe_id"], "left_semi").drop("__real")
 
 
 def new_only(inferred: DataFrame, cited: DataFrame, share: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.functions.text import first_group
+from citelake.functions.text import bind, first_group
 from citelake.operators.ordered import fill_forward
 
 
@@ -54,8 +54,8 @@ def articles_flat(blocks: DataFrame, width: int, drop_orphans: bool = False) ->
 
 def concepts_in(text: Column, concepts: list[str]) -> Column:
     """Concepts of a dictionary that a text contains, in any case. The dictionary is a literal."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(c.lower()) for c in concepts]), lambda c: low.contains(c))
+    words = F.array(*[F.lit(c.lower()) for c in concepts])
+    return bind(F.lower(text), lambda low: F.filter(words, lambda c: low.contains(c)))
 
 
 def concept_to_articles(articles: DataFrame, concepts: list[str]) -> DataFrame:

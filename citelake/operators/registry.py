@@ -22,13 +22,13 @@ def registry_ids(refs: DataFrame) -> DataFrame:
     Each step is an equi-join with a dictionary of fixed size; together they run in one stage.
     """
     registry = dims.registry_entries()
-    ref = legal.clean_reference(F.col("ref"))
-    out = dims.lookup(refs, registry, F.lower(F.trim("ref")), "__by_name")
+    out = refs.withColumn("__clean", legal.clean_reference(F.col("ref")))
+    out = dims.lookup(out, registry, F.lower(F.trim("ref")), "__by_name")
     out = dims.lookup(out, registry, legal.numbered_key(F.col("title")), "__by_title")
     word = F.coalesce(*[
         F.when(F.lower("title").contains(w), F.lit(boe_id)) for w, boe_id in dims.TITLE_REGISTRY.items()
     ])
-    out = dims.lookup(out, registry, legal.numbered_key(ref), "__by_number")
+    out = dims.lookup(out, registry, legal.numbered_key(F.col("__clean")), "__by_number")
     return out.select(
         *refs.columns,
         F.coalesce("__by_name", "__by_title", word, "__by_number").alias("boe_id"),

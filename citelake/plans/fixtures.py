@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citelake.sources.tables import read_table, read_texts
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = read_texts if name in ("documents", "pages") else read_table
+    return reader(spark, f"{sf_dir}/{name}.parquet")
 
 
 # -- documents with planted citations ----------------------------------------

@@ -949,19 +949,19 @@ def detect_concepts(spark, d):
     return infer.detect_concepts(fx.concept_documents(spark, d), fx.CONCEPT_NAMES, cited, fx.concept_map(spark, d))
 
 
-def _ranges(spark, d):
-    found = infer.detect_concepts(fx.concept_documents(spark, d), fx.CONCEPT_NAMES)
-    return infer.concept_ranges(found, fx.concept_map(spark, d))
+def _found_concepts(spark, d):
+    return infer.detect_concepts(fx.concept_documents(spark, d), fx.CONCEPT_NAMES)
 
 
 @query
 def concept_ranges(spark, d):
-    return _ranges(spark, d)
+    return infer.concept_ranges(_found_concepts(spark, d), infer.spread_ranges(fx.concept_map(spark, d)))
 
 
 def _validated_ranges(spark, d):
     real = fx.project(fx.read(spark, d, "part"), fx.CONCEPT_ARTICLES)
-    return infer.validate_ranges(_ranges(spark, d), real)
+    valid = infer.validate_ranges(infer.spread_ranges(fx.concept_map(spark, d)), real)
+    return infer.concept_ranges(_found_concepts(spark, d), valid)
 
 
 @query
