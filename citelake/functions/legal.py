@@ -51,31 +51,32 @@ def is_noise(text: Column) -> Column:
 
 # -- laws -------------------------------------------------------------------
 
-#: law type, pattern anchored at the start, canonical prefix; the first match wins
-LAW_FORMS = [
-    ("organica", r"^Ley\s+Orgánica\s+(\d+/\d{4})", "Ley Orgánica"),
-    ("ordinaria", r"^Ley\s+(\d+/\d{4})", "Ley"),
-    ("real_decreto_ley", r"^(?:Real\s+Decreto[\s-]+Ley|RDL)\s+(\d+/\d{4})", "Real Decreto-ley"),
-    (
-        "real_decreto_legislativo",
-        r"^(?:Real\s+Decreto\s+Legislativo|RDLeg)\s+(\d+/\d{4})",
-        "Real Decreto Legislativo",
-    ),
-    ("real_decreto", r"^(?:Real\s+Decreto|RD)\s+(\d+/\d{4})", "Real Decreto"),
-]
+#: spelling of a norm's type word -> canonical word and law type
+LAW_WORDS = {
+    "ley orgánica": ("Ley Orgánica", "organica"),
+    "ley": ("Ley", "ordinaria"),
+    "real decreto ley": ("Real Decreto-ley", "real_decreto_ley"),
+    "rdl": ("Real Decreto-ley", "real_decreto_ley"),
+    "real decreto legislativo": ("Real Decreto Legislativo", "real_decreto_legislativo"),
+    "rdleg": ("Real Decreto Legislativo", "real_decreto_legislativo"),
+    "real decreto": ("Real Decreto", "real_decreto"),
+    "rd": ("Real Decreto", "real_decreto"),
+}
+_LAW_FORM = FOLD + (
+    r"^\s*(Ley\s+Orgánica|Ley|Real\s+Decreto[\s-]+Ley|RDLeg|RDL|Real\s+Decreto\s+Legislativo|Real\s+Decreto|RD)"
+    r"\s+(\d+/\d{4})"
+)
+
+
+def _word_map(part: int) -> Column:
+    return F.create_map(*[F.lit(x) for word, out in LAW_WORDS.items() for x in (word, out[part])])
 
 
 def law_form(law: Column) -> tuple[Column, Column]:
     """Canonical law and law type of a numbered norm; both null for other forms."""
-    trimmed = F.trim(law)
-    canonical = F.coalesce(
-        *[
-            F.when(trimmed.rlike(FOLD + p), F.concat(F.lit(prefix + " "), F.regexp_extract(trimmed, FOLD + p, 1)))
-            for _, p, prefix in LAW_FORMS
-        ]
-    )
-    kind = F.coalesce(*[F.when(trimmed.rlike(FOLD + p), F.lit(k)) for k, p, _ in LAW_FORMS])
-    return canonical, kind
+    word = F.lower(F.regexp_replace(F.regexp_extract(law, _LAW_FORM, 1), r"[\s-]+", " "))
+    canonical = F.concat(F.try_element_at(_word_map(0), word), F.lit(" "), F.regexp_extract(law, _LAW_FORM, 2))
+    return canonical, F.try_element_at(_word_map(1), word)
 
 
 LAW_IN_TEXT = [

@@ -54,16 +54,16 @@ def greedy_first(rows: DataFrame, values: Column) -> DataFrame:
     """
     wanted = rows.withColumn("__values", F.array_distinct(F.array_compact(values)))
     # a later row with the very same values can never be kept; a row without values always is
-    items = keep_first(wanted.where(F.size("__values") > 0), ["doc_id", "__values"], [F.col("start")])
-    open_rows = cut_lineage(items.select("doc_id", "start", "__values"))
+    items = wanted.where(F.size("__values") > 0).groupBy("doc_id", "__values").agg(F.min("start").alias("start"))
+    open_rows = cut_lineage(items)
     kept = wanted.where(F.size("__values") == 0).select("doc_id", "start")
     while not open_rows.isEmpty():
         holders = open_rows.select("doc_id", "start", "__values", F.explode("__values").alias("__value"))
         first = holders.groupBy("doc_id", "__value").agg(F.min("start").alias("__first"))
         winners = cut_lineage(
             holders.join(first, ["doc_id", "__value"])
-            .groupBy("doc_id", "start")
-            .agg(F.bool_and(F.col("__first") == F.col("start")).alias("__free"), F.any_value("__values").alias("__values"))
+            .groupBy("doc_id", "start", "__values")
+            .agg(F.bool_and(F.col("__first") == F.col("start")).alias("__free"))
             .where("__free")
             .select("doc_id", "start", "__values")
         )
@@ -72,8 +72,8 @@ def greedy_first(rows: DataFrame, values: Column) -> DataFrame:
         taken = winners.select("doc_id", F.explode("__values").alias("__value"), F.lit(True).alias("__taken"))
         open_rows = cut_lineage(
             holders.join(taken, ["doc_id", "__value"], "left")
-            .groupBy("doc_id", "start")
-            .agg(F.count("__taken").alias("__hits"), F.any_value("__values").alias("__values"))
+            .groupBy("doc_id", "start", "__values")
+            .agg(F.count("__taken").alias("__hits"))
             .where(F.col("__hits") == 0)
             .select("doc_id", "start", "__values")
         )

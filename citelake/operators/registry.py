@@ -116,7 +116,8 @@ def validate_mentions(mentions: DataFrame, law_articles: DataFrame | None = None
     with_ref = extract_law_info(mentions)
     if "title" not in with_ref.columns:
         with_ref = with_ref.withColumn("title", F.lit(None).cast("string"))
-    found = registry_ids(with_ref)
+    # few laws are named very often: look each reference up once
+    found = bulk_lookup(with_ref)
     checked = check_articles(found, law_articles) if law_articles is not None else found.withColumn(
         "article_exists", F.lit(None).cast("boolean")
     )

@@ -406,7 +406,10 @@ YEAR_REFERENCES = {
     "number": "CAST(l_partkey % 100 + 1 AS INT)",
     "ref_year": "CAST(1965 + l_linenumber * 10 AS INT)",
 }
-REGISTRY_ARTICLES = {"boe_id": "'BOE-A-2015-7391'", "number": "CAST(p_partkey % 3 + 1 AS STRING)"}
+REGISTRY_ARTICLES = {
+    "boe_id": "CASE p_partkey % 2 WHEN 0 THEN 'BOE-A-2015-7391' ELSE 'BOE-A-2015-10565' END",
+    "number": "CAST(p_partkey % 3 + 1 AS STRING)",
+}
 EU_ACTS = {
     "celex": "CASE page_id % 3 WHEN 0 THEN '32016R0679' WHEN 1 THEN '32014R0910' ELSE '32010R1259' END",
     "title": "'Acto ' || CAST(page_id % 3 AS STRING)",

@@ -69,14 +69,23 @@ def mentions(agents: str = "ABC", source: str = "docs") -> str:
     return " UNION ALL ".join(parts)
 
 
+LAW_FORMS = [
+    ("organica", r"^Ley\s+Orgánica\s+(\d+/\d{4})", "Ley Orgánica"),
+    ("ordinaria", r"^Ley\s+(\d+/\d{4})", "Ley"),
+    ("real_decreto_ley", r"^(?:Real\s+Decreto[\s-]+Ley|RDL)\s+(\d+/\d{4})", "Real Decreto-ley"),
+    ("real_decreto_legislativo", r"^(?:Real\s+Decreto\s+Legislativo|RDLeg)\s+(\d+/\d{4})", "Real Decreto Legislativo"),
+    ("real_decreto", r"^(?:Real\s+Decreto|RD)\s+(\d+/\d{4})", "Real Decreto"),
+]
+
+
 def law_form(column: str) -> tuple[str, str]:
     c = f"trim({column})"
     canonical = "CASE " + " ".join(
         f"WHEN regexp_matches({c}, {q('(?i)' + p)}) THEN {q(prefix + ' ')} || regexp_extract({c}, {q('(?i)' + p)}, 1)"
-        for _, p, prefix in legal.LAW_FORMS
+        for _, p, prefix in LAW_FORMS
     ) + " END"
     kind = "CASE " + " ".join(
-        f"WHEN regexp_matches({c}, {q('(?i)' + p)}) THEN {q(k)}" for k, p, _ in legal.LAW_FORMS
+        f"WHEN regexp_matches({c}, {q('(?i)' + p)}) THEN {q(k)}" for k, p, _ in LAW_FORMS
     ) + " END"
     return canonical, kind
 
