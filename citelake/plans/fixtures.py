@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.sources.tables import read_table, read_texts
+from citelake.sources.tables import read_spread, read_table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reader = read_texts if name in ("documents", "pages") else read_table
+    reader = read_spread if name in ("documents", "pages", "lineitem", "orders") else read_table
     return reader(spark, f"{sf_dir}/{name}.parquet")
 
 

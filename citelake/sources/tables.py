@@ -1,4 +1,4 @@
-"""Parquet tables, and text tables for jobs whose work is on the CPU."""
+"""Parquet tables."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """A table of texts, with enough partitions for the cores.
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose rows need much work each, with enough partitions for the cores.
 
     A row group is read by one task, so a table in fewer files than there are cores would leave
     cores idle during pattern matching; only then are its rows dealt out. A large table has more
-    files than cores, and its texts are not shuffled.
+    files than cores, and its rows are not shuffled.
     """
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
