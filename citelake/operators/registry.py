@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citelake import dims
 from citelake.functions import legal
 from citelake.functions.text import FOLD, first_group, none_if_empty
+from citelake.operators.joins import left_join_hot
 
 
 def extract_law_info(mentions: DataFrame) -> DataFrame:
@@ -44,8 +45,7 @@ def bulk_lookup(mentions: DataFrame) -> DataFrame:
     answers = registry_ids(mentions.select("ref", "title").distinct()).select(
         F.col("ref").alias("__ref"), F.col("title").alias("__title"), "boe_id", "found_by"
     )
-    same = F.col("ref").eqNullSafe(F.col("__ref")) & F.col("title").eqNullSafe(F.col("__title"))
-    return mentions.join(answers, same, "left").drop("__ref", "__title")
+    return left_join_hot(mentions, answers, {"ref": "__ref", "title": "__title"}, "mention_id")
 
 
 def registry_year_range(refs: DataFrame, registry: DataFrame, years: int = 30) -> DataFrame:
@@ -79,15 +79,11 @@ def check_articles(mentions: DataFrame, law_articles: DataFrame) -> DataFrame:
     )
     known = law_articles.select(F.col("boe_id").alias("__law"), F.col("number").alias("__n")).distinct()
     laws = law_articles.select(F.col("boe_id").alias("__law")).distinct()
-    exact = keyed.join(
-        known.withColumn("__exact", F.lit(True)),
-        (F.col("boe_id") == F.col("__law")) & (F.col("article_checked") == F.col("__n")), "left"
-    ).drop("__law", "__n")
-    base = exact.join(
-        known.withColumn("__has_base", F.lit(True)),
-        (F.col("boe_id") == F.col("__law")) & (F.col("__base") == F.col("__n")), "left"
-    ).drop("__law", "__n")
-    joined = base.join(laws.withColumn("__indexed", F.lit(True)), F.col("boe_id") == F.col("__law"), "left").drop("__law")
+    by_number = {"boe_id": "__law", "article_checked": "__n"}
+    by_base = {"boe_id": "__law", "__base": "__n"}
+    joined = left_join_hot(keyed, known.withColumn("__exact", F.lit(True)), by_number, "mention_id")
+    joined = left_join_hot(joined, known.withColumn("__has_base", F.lit(True)), by_base, "mention_id")
+    joined = left_join_hot(joined, laws.withColumn("__indexed", F.lit(True)), {"boe_id": "__law"}, "mention_id")
     exists = F.when(
         F.col("article").isNotNull() & F.coalesce("__indexed", F.lit(False)),
         F.coalesce("__exact", "__has_base", F.lit(False)),
