@@ -166,7 +166,7 @@ def converge(
 
     ``candidates(doc_id, key, rung)`` come from one scan of the documents. Rounds 1 to ``rungs``
     take the candidates of that rung; later rounds take ``expand`` of the newest mentions, so a
-    document without news drops out by itself. Every round is checkpointed: the loop's lineage
+    document without news drops out by itself. Every round is written as a table: the loop's lineage
     stays short and a lost executor costs one round. Result: (doc_id, key, round).
     """
     candidates = cut_lineage(candidates.select("doc_id", "key", "rung").distinct())
