@@ -55,6 +55,10 @@ class Join:
         return F.ceil((n + m) * self.percent / F.lit(100.0 + self.percent) - 1e-9).cast("int")
 
 
+#: Five words and a similarity of 0.8: near copies of the pipeline.
+NEAR = Join(width=5, percent=80)
+
+
 def _sets(texts: W.Texts, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, sorted by row and hash."""
     tokens = texts.tokens(W.WORD, W.LOWER if join.fold else W.SAME)

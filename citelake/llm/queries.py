@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm import jaccard, quality
+from citelake.llm import contamination, jaccard, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,21 @@ def op1_quality(spark, d):
     return quality.quality_rules(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op2_mixing(spark, d):
+    return mixing.mix_sizes(table(spark, d, "documents"))
+
+
 @query
 def op6_jaccard_join(spark, d):
     return jaccard.near_copies(table(spark, d, "documents"))
+
+
+@query
+def op8_sharding(spark, d):
+    return sharding.place(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op10_decontamination(spark, d):
+    return contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
