@@ -35,6 +35,7 @@ THRESHOLD = 0.5  # of an item's own score
 OVERLAP = 0.6  # share of question and of answer n-grams that must be found
 GRAM = 3  # tokens
 K1, B = 1.2, 0.75
+ASIDE = 0.6  # share of the threshold that terms may bring which are not looked up at first
 BLOCK = 16  # postings under one maximum
 BLOCK_BYTES = 8 << 20
 
@@ -106,17 +107,17 @@ class Index:
             weights.append({t: v / total for t, v in impact.items()})
             for t, v in weights[-1].items():
                 postings[t].append((item, v))
-        # Terms by falling document frequency are set aside while no item has over half the threshold in them.
-        self.aside, essential = 0.0, set(df)
+        # Terms by falling document frequency are set aside while no item has too much weight in them.
+        essential = set(df)
         spent = np.zeros(n)
         for t in common_first:
             grown = [(item, spent[item] + v) for item, v in postings[t]]
-            if max(v for _, v in grown) >= self.threshold / 2:
+            if max(v for _, v in grown) >= self.threshold * ASIDE:
                 break
             for item, v in grown:
                 spent[item] = v
             essential.discard(t)
-        self.aside = float(spent.max()) if n else 0.0
+        self.needed = self.threshold - spent - 1e-9  # weight that essential terms must bring, by item
         self.postings = {
             t: (
                 [i for i, _ in p],
@@ -126,11 +127,14 @@ class Index:
             )
             for t, p in postings.items()
         }
-        vocabulary = np.array(sorted(self.postings), W.U)
-        self.vocabulary = vocabulary
-        self.bound = np.array([self.postings[t][3] if t in essential else 0.0 for t in vocabulary.tolist()])
+        self.vocabulary = np.array(sorted(self.postings), W.U)
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(vocabulary >> W.U(44)).astype(np.int64)] = True
+        self.filter[(self.vocabulary >> W.U(44)).astype(np.int64)] = True
+        flat = [self.postings[t] if t in essential else ([], []) for t in self.vocabulary.tolist()]
+        self.many = np.array([len(p[0]) for p in flat], np.int64)
+        self.begin = np.cumsum(self.many) - self.many
+        self.flat_item = np.array([i for p in flat for i in p[0]], np.int64)
+        self.flat_weight = np.array([v for p in flat for v in p[1]])
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items whose score over the distinct ``terms`` reaches the threshold: block-max WAND."""
@@ -189,22 +193,15 @@ class Index:
         maybe = np.flatnonzero(self.filter[(tokens.hash >> W.U(44)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.vocabulary, tokens.hash[maybe]), len(self.vocabulary) - 1)
         known = self.vocabulary[place] == tokens.hash[maybe]
-        weight = np.zeros(n + 1)
-        weight[maybe[known] + 1] = self.bound[place[known]]
         hit = np.zeros(n, bool)
         hit[maybe[known]] = True
-        run = np.cumsum(weight)
         starts = np.searchsorted(tokens.doc, np.arange(len(texts) + 1))
         half = PASSAGE // 2
-        length = np.diff(starts)
-        passages = np.where(length > 0, np.maximum(1, -(-(length - half) // half)), 0)
-        row = np.repeat(np.arange(len(texts)), passages)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages)
-        low = starts[row] + number * half
-        high = np.minimum(low + PASSAGE, starts[row + 1])
-        open_ = np.flatnonzero(run[high] - run[low] >= self.threshold - self.aside - 1e-9)
+        halves = -(-np.diff(starts) // half)
+        first_half = np.cumsum(halves) - halves
+        low, high, row, number = self._open(tokens, maybe[known], place[known], starts, first_half, halves)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for p in open_.tolist():
+        for p in range(len(low)):
             span = slice(low[p], high[p])
             terms = np.unique(tokens.hash[span][hit[span]]).tolist()
             for item, score in self.search(terms):
@@ -218,6 +215,35 @@ class Index:
             if min(question, answer) >= overlap:
                 yield r, item, score, question, answer, int(number[p])
 
+    def _open(self, tokens, at, term, starts, first_half, halves):
+        """Passages in which some item's essential weight may suffice: bounds, row and number.
+
+        Weights are summed per (half passage, item), repeats included, for the whole run of texts.
+        """
+        half, items = PASSAGE // 2, len(self.ids)
+        many = self.many[term]
+        where = np.repeat(self.begin[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        doc = tokens.doc[at]
+        of = np.repeat(first_half[doc] + (at - starts[doc]) // half, many)
+        key = of * items + self.flat_item[where]
+        order = np.argsort(key)
+        key, weight = key[order], self.flat_weight[where][order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        cut = np.flatnonzero(new)
+        key, total = key[cut], np.add.reduceat(weight, cut) if len(cut) else weight
+        after = np.minimum(np.searchsorted(key, key + items), max(len(key) - 1, 0))
+        both = total + np.where(key[after] == key + items, total[after], 0.0) if len(key) else total
+        needed = self.needed[key % items]
+        at_half = np.concatenate((key[both >= needed] // items, key[total >= needed] // items - 1))
+        # A half before a row's first belongs to another row; its passage is then looked at in vain.
+        at_half = np.unique(at_half[at_half >= 0])
+        row = np.searchsorted(first_half, at_half, "right") - 1
+        number = np.minimum(at_half - first_half[row], np.maximum(halves[row] - 2, 0))
+        row, number = np.unique(np.stack((row, number), 1), axis=0).T if len(row) else (row, number)
+        low = starts[row] + number * half
+        return low, np.minimum(low + PASSAGE, starts[row + 1]), row, number
+
 
 def indexes(items: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
     """One index per block of items; a block is at most about ``BLOCK_BYTES`` of text on the driver."""
@@ -260,12 +286,11 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     def keep(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = np.ones(batch.num_rows, bool)
                 for texts in W.runs(batch.column(0)):
-                    for row, *_ in index.leaks(texts, overlap):
-                        good[texts.first + row] = False
-                names = batch.schema.names[1:]
-                yield pa.RecordBatch.from_arrays(batch.columns[1:], names).filter(pa.array(good))
+                    good = np.ones(len(texts), bool)
+                    good[[row for row, *_ in index.leaks(texts, overlap)]] = False
+                    rows = [c.slice(texts.first, len(texts)) for c in batch.columns[1:]]
+                    yield pa.RecordBatch.from_arrays(rows, batch.schema.names[1:]).filter(pa.array(good))
 
         return run
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm import words as W
 from citelake.llm.components import components
-from citelake.llm.store import Scratch
+from citelake.llm.store import Scratch, modest
 
 SAMPLE = 8_192  # documents, about, whose shingles are counted for the order
 OFTEN = 3  # counts in the sample from which a shingle is ordered by frequency
@@ -197,58 +197,71 @@ def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.where(F.col("c") * 100 >= join.percent * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b")
 
 
+def candidates(met: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b) of a join of postings."""
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per row of ``docs``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = scratch.put(signatures(docs, join, frequent_shingles(docs, join)))
+    signed = scratch.put(
+        signatures(docs, join, frequent_shingles(docs, join)).withColumn("r", F.monotonically_increasing_id())
+    )
     classes = scratch.put(
-        signed.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        signed.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("r").alias("first"))
     )
+    other = scratch.put(
+        signed.where("n > 0").select("k", "r").join(classes, "k").where("r <> first or rep is null").select("r")
+    )
+    reps = signed.where("n > 0").join(modest(other), "r", "left_anti")
 
-    reps = signed.join(classes.where("rep is not null").select("k", F.col("rep").alias("doc_id")), ["k", "doc_id"], "left_semi")
-    reps = reps.dropDuplicates(["k"])
     rows = reps.select("k", "n", F.posexplode("prefix").alias("i", "s"))
-    shared = rows.groupBy("s").agg(F.count("*").alias("g")).where("g > 1")
-    postings = scratch.put(rows.join(shared, "s"))
-    chosen = choose_lengths(postings, join)
-    lengths = scratch.put(chosen.join(reps.select("k", "n", "prefix"), "k").select(
-        "k", "n", "l", F.slice("prefix", 1, F.col("n") - join.least(F.col("n")) + F.col("l")).alias("own")
-    ))
-    postings = scratch.put(
-        postings.join(lengths.select("k", "l"), "k").where(F.col("i") < F.col("n") - join.least(F.col("n")) + F.col("l"))
+    shared = scratch.put(rows.groupBy("s").agg(F.count("*").alias("g")).where("g > 1"))
+    postings = scratch.put(rows.join(modest(shared), "s"))
+    chosen = scratch.put(choose_lengths(postings, join))
+    reach = F.col("n") - join.least(F.col("n")) + F.col("l")
+    prefixes = scratch.put(reps.join(modest(chosen), "k").select("k", "l", F.slice("prefix", 1, reach).alias("own")))
+    postings = scratch.put(postings.join(modest(chosen), "k").where(F.col("i") < reach).select("s", "k", "n", "i"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links (a, b) among candidates: shared prefixes first, then whole sets made from the texts."""
+        pairs = scratch.put(multi_match(pairs, prefixes))
+        met = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        wanted = scratch.put(met.join(classes, "k").select(F.col("rep").alias("doc_id"), "k"))
+        sets = scratch.put(whole_sets(docs, modest(wanted), join))
+        links = scratch.put(verify(pairs, sets, join))
+        scratch.drop(sets, wanted, pairs)
+        return links
+
+    pivots = scratch.put(postings.groupBy("s").agg(F.min(F.struct("i", "k", "n")).alias("p")).select("s", "p.*"))
+    stars = postings.alias("x").join(
+        pivots.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.k") != F.col("y.k")) & _near("x", "y", join)
     )
+    links = linked(candidates(stars, "x.k", "y.k"))
+    parts = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
-    pivots = postings.groupBy("s").agg(F.min(F.struct("i", "k", "n")).alias("p")).select("s", "p.*")
-    met = postings.alias("x").join(pivots.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.k") != F.col("y.k")) & _near("x", "y", join))
-    ordered = [F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")]
-    stars = scratch.put(multi_match(met.select(*ordered).distinct(), lengths))
-
-    wanted = lengths.join(classes, "k").select(F.col("rep").alias("doc_id"), "k")
-    sets = scratch.put(whole_sets(docs, wanted, join))
-    linked = scratch.put(verify(stars, sets, join))
-    parts = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-
-    labelled = postings.join(parts.select(F.col("u").alias("k"), F.col("v").alias("c0")), "k", "left").withColumn("c", F.coalesce("c0", "k"))
+    part = parts.select(F.col("u").alias("k"), F.col("v").alias("of"))
+    labelled = postings.join(part, "k", "left").withColumn("c", F.coalesce("of", "k"))
     labelled = labelled.join(pivots.select("s", F.col("k").alias("pivot")), "s").where("k <> pivot")
     open_ = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
     labelled = scratch.put(labelled.join(open_, "s").select("s", "k", "n", "i", "c"))
+    apart = (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c"))
     rest = labelled.alias("x").join(
-        labelled.alias("y"),
-        (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", join),
+        labelled.alias("y"), (F.col("x.s") == F.col("y.s")) & apart & _near("x", "y", join)
     )
-    more = verify(multi_match(rest.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), lengths), sets, join)
-    more = scratch.put(more)
-    if not more.isEmpty():
-        links = more.select(F.col("a").alias("u"), F.col("b").alias("v")).union(parts)
-        parts = components(links, scratch)
-    scratch.drop(postings, stars, sets, linked, labelled, lengths, more)
-
-    of_class = classes.join(parts.select(F.col("u").alias("k"), F.col("v").alias("c0")), "k", "left").withColumn("c", F.coalesce("c0", "k"))
+    rest = scratch.put(candidates(rest, "x.k", "y.k"))
+    if not rest.isEmpty():
+        more = linked(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        parts = components(more.union(parts), scratch)
+        part = parts.select(F.col("u").alias("k"), F.col("v").alias("of"))
+    scratch.drop(postings, pivots, links, labelled, rest, prefixes, chosen, shared)
+
+    of_class = classes.join(part, "k", "left").withColumn("c", F.coalesce("of", "k"))
     least = of_class.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = of_class.join(least, "c").select("k", "component_id")
-    out = signed.drop("prefix").join(named, "k", "left")
+    out = signed.select("doc_id", "n", "k").join(named, "k", "left")
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),

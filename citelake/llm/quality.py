@@ -122,20 +122,16 @@ def score_documents(docs: DataFrame, carry: list[str], ratio: np.ndarray, thresh
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[dict[str, np.ndarray]] = []
             for texts in W.runs(batch.column(0)):
-                out = _measures(texts)
+                cols = _measures(texts)
                 bucket, doc = _buckets(texts)
                 n = np.bincount(doc, minlength=len(texts))
-                out["llr"] = np.bincount(doc, ratio[bucket], minlength=len(texts)) / np.maximum(n, 1)
-                parts.append(out)
-            if not parts:
-                continue
-            cols = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            failed = (cols["n_words"] < 50) | (100 * cols["n_repeat_words"] > 50 * cols["n_words"])
-            cols |= {"base_failed": failed, "kept": ~failed & (cols["llr"] >= threshold)}
-            values = [*batch.columns[1:], *(pa.array(cols[k]) for k in MEASURES)]
-            yield pa.RecordBatch.from_arrays(values, [*(f"c{i}" for i in range(len(carry))), *MEASURES])
+                cols["llr"] = np.bincount(doc, ratio[bucket], minlength=len(texts)) / np.maximum(n, 1)
+                failed = (cols["n_words"] < 50) | (100 * cols["n_repeat_words"] > 50 * cols["n_words"])
+                cols |= {"base_failed": failed, "kept": ~failed & (cols["llr"] >= threshold)}
+                rows = [c.slice(texts.first, len(texts)) for c in batch.columns[1:]]
+                values = [*rows, *(pa.array(cols[k]) for k in MEASURES)]
+                yield pa.RecordBatch.from_arrays(values, [*(f"c{i}" for i in range(len(carry))), *MEASURES])
 
     columns = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(carry)]
     picked = docs.select(F.col("text").alias("__text"), *columns)

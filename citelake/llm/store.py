@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citelake.session import checkpoint_dir
 
@@ -34,3 +35,15 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers each that may be sent to every executor (some tens of MB).
+MODEST = 1 << 20
+
+
+def modest(table: DataFrame, limit: int = MODEST) -> DataFrame:
+    """``table`` (written, of narrow rows) marked for broadcast if it has at most ``limit`` rows.
+
+    Beyond that it is left as it is, and the join shuffles both sides; the result is the same.
+    """
+    return F.broadcast(table) if table.count() <= limit else table

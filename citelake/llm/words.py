@@ -114,7 +114,7 @@ class Texts:
         return mix(out ^ ((end - start).astype(U) << U(48)))
 
 
-def runs(column: pa.Array, size: int = 2 * PIECE) -> Iterator[Texts]:
+def runs(column: pa.Array, size: int = PIECE) -> Iterator[Texts]:
     """The column's rows in runs of about ``size`` bytes (one row at least); null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
