@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm import contamination, jaccard, mixing, quality, sharding
+from citelake.llm import chat, contamination, jaccard, mixing, quality, secrets, sharding, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,34 @@ def op8_sharding(spark, d):
 @query
 def op10_decontamination(spark, d):
     return contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_chat_formatting(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path = vocabulary("byte_bpe_50k.json")
+    return chat.digest(chat.assemble(chat.encode_turns(rows.unionByName(own), path)), path)
+
+
+@query
+def op5_token_counts(spark, d):
+    return tokens.count_tokens(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op7_secret_scans(spark, d):
+    return secrets.find_secrets(table(spark, d, "documents"))
+
+
+@query
+def op3_toxicity(spark, d):
+    return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
