@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm import chat, contamination, jaccard, mixing, quality, secrets, sharding, tokens, toxicity
+from citelake.llm import chat, contamination, jaccard, lm, mixing, quality, secrets, sharding, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +75,8 @@ def op7_secret_scans(spark, d):
 @query
 def op3_toxicity(spark, d):
     return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op9_lm_scoring(spark, d):
+    return lm.score_documents(table(spark, d, "documents"))
