@@ -174,11 +174,13 @@ def choose_lengths(postings: DataFrame, join: Join) -> DataFrame:
 def _near(a: str, b: str, join: Join) -> Column:
     """Size bound, and the overlap that is left if this shingle is the first that both share.
 
-    A linked pair passes at its first shared shingle, so rows are judged one by one.
+    A linked pair passes at its first shared shingle, so rows are judged one by one; where both sets have
+    the same shingle before this one, it is not the first.
     """
     n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "i") for x in (a, b))
     left = 1 + F.least(n - i - 1, m - j - 1)
-    return (join.least(F.greatest(n, m)) <= F.least(n, m)) & (left >= join.both(n, m))
+    first = ~F.col(f"{a}.before").eqNullSafe(F.col(f"{b}.before")) | (i == 0) | (j == 0)
+    return (join.least(F.greatest(n, m)) <= F.least(n, m)) & (left >= join.both(n, m)) & first
 
 
 def multi_match(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -217,13 +219,14 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
     reps = signed.where("n > 0").join(modest(other), "r", "left_anti")
 
-    rows = reps.select("k", "n", F.posexplode("prefix").alias("i", "s"))
+    rows = reps.select("k", "n", "prefix", F.posexplode("prefix").alias("i", "s"))
     shared = scratch.put(rows.groupBy("s").agg(F.count("*").alias("g")).where("g > 1"))
-    postings = scratch.put(rows.join(modest(shared), "s"))
+    before = F.coalesce(F.get("prefix", F.col("i") - 1), F.lit(0))
+    postings = scratch.put(rows.join(modest(shared), "s").select("s", "k", "n", "i", "g", before.alias("before")))
     chosen = scratch.put(choose_lengths(postings, join))
     reach = F.col("n") - join.least(F.col("n")) + F.col("l")
     prefixes = scratch.put(reps.join(modest(chosen), "k").select("k", "l", F.slice("prefix", 1, reach).alias("own")))
-    postings = scratch.put(postings.join(modest(chosen), "k").where(F.col("i") < reach).select("s", "k", "n", "i"))
+    postings = scratch.put(postings.join(modest(chosen), "k").where(F.col("i") < reach).select("s", "k", "n", "i", "before"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links (a, b) among candidates: shared prefixes first, then whole sets made from the texts."""
@@ -235,7 +238,7 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
         scratch.drop(sets, wanted, pairs)
         return links
 
-    pivots = scratch.put(postings.groupBy("s").agg(F.min(F.struct("i", "k", "n")).alias("p")).select("s", "p.*"))
+    pivots = scratch.put(postings.groupBy("s").agg(F.min(F.struct("i", "k", "n", "before")).alias("p")).select("s", "p.*"))
     stars = postings.alias("x").join(
         pivots.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.k") != F.col("y.k")) & _near("x", "y", join)
     )
@@ -244,9 +247,9 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     part = parts.select(F.col("u").alias("k"), F.col("v").alias("of"))
     labelled = postings.join(part, "k", "left").withColumn("c", F.coalesce("of", "k"))
-    labelled = labelled.join(pivots.select("s", F.col("k").alias("pivot")), "s").where("k <> pivot")
+    labelled = labelled.join(pivots.select("s", F.col("k").alias("pivot")), "s").where("k <> pivot")  # met already
     open_ = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
-    labelled = scratch.put(labelled.join(open_, "s").select("s", "k", "n", "i", "c"))
+    labelled = scratch.put(labelled.join(open_, "s").select("s", "k", "n", "i", "before", "c"))
     apart = (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c"))
     rest = labelled.alias("x").join(
         labelled.alias("y"), (F.col("x.s") == F.col("y.s")) & apart & _near("x", "y", join)
