@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelake.llm.store import Scratch
+from citelake.llm.store import Scratch, modest
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -166,10 +166,15 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all columns, each as often as it is taken."""
+    """The mix itself: rows of ``docs`` (a stored table) with all columns, each as often as it is taken.
+
+    Rows are drawn without their texts; the numbers then meet the texts by row id.
+    """
     scratch = Scratch(docs.sparkSession)
-    sized = scratch.put(_sized(docs))
-    chosen = scratch.put(plan(sized, targets(sized)))
-    whole = _sized(docs, F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
-    taken = draw(whole, chosen).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times")))
-    return taken.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    row = F.monotonically_increasing_id()
+    sized = scratch.put(_sized(docs, row.alias("id")))
+    drawn = draw(sized, scratch.put(plan(sized, scratch.put(targets(sized)))))
+    taken = scratch.put(drawn.where("times > 0").select("id", "times"))
+    whole = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), row.alias("id"))
+    again = whole.join(modest(taken), "id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    return again.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -22,7 +22,7 @@ class Scratch:
     def put(self, df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
         self.names += 1
         path = f"{self.root}/{self.names}"
-        writer = df.write
+        writer = df.write.option("compression", "zstd")
         if by:
             writer = writer.partitionBy(*by)
         writer.parquet(path)
