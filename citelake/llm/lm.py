@@ -16,7 +16,8 @@ the unknown word. The answers meet the documents by block, in the order of the r
 
 Defined results: null and empty texts consist of the end token; rows with a null id are learned from and
 not held out; repeated rows count each; without training rows every token has probability 1 / (V + 1) = 1.
-Words are told apart by 64-bit hashes. Other columns are ignored.
+Words are told apart by 64-bit hashes, the
+successors of one history by 48 bits of them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BLOCK = 12  # bits: rows of one input partition that form a block
 RANGE_BYTES = 12 << 20  # text bytes per range of histories
 LEAST = 2  # bigrams seen less often are left to the backoff
 TOP = 5  # counts above are not discounted
+WORD_BYTES = 6  # of a successor's hash that are sent
+SHORT = (1 << 8 * WORD_BYTES) - 1
 START, END = W.mix(np.array([11, 12], W.U))
 
 REQUEST = "bucket long, block long, h binary, run binary, w binary, n binary"
@@ -68,7 +71,7 @@ class Block:
         empty = np.zeros(0, W.U)
         h, w = np.concatenate(hist or [empty]), np.concatenate(word or [empty])
         self.doc = np.concatenate(doc or [np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.lexsort((w, h))
+        order = np.lexsort((w & W.U(SHORT), h))
         hs, ws = h[order], w[order]
         new = np.ones(len(hs), bool)
         new[1:] = (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
@@ -97,7 +100,7 @@ def requests(rows: DataFrame, bits: int) -> DataFrame:
             x, y = b.begin[i], (b.begin[j] if j < len(b.begin) else len(b.h))
             out.append({
                 "bucket": key, "block": block, "h": b.names[i:j].tobytes(), "run": b.run[i:j].astype(np.int32).tobytes(),
-                "w": b.w[x:y].tobytes(), "n": b.n[x:y].astype(np.int32).tobytes(),
+                "w": _short(b.w[x:y]), "n": b.n[x:y].astype(np.int32).tobytes(),
             })
             if len(out) == 64:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -124,6 +127,17 @@ def requests(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("text", "held_out", "block").mapInArrow(run, REQUEST)
 
 
+def _short(w: np.ndarray) -> bytes:
+    """The low ``WORD_BYTES`` of each hash: enough to tell the successors of one history apart."""
+    return np.ascontiguousarray(w.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+
+
+def _whole(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view(W.U).ravel()
+
+
 def _view(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
@@ -131,7 +145,7 @@ def _view(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 def count_range(group: pa.Table) -> pa.Table:
     """One range of histories: model rows, statistics and an answer for each block."""
     names, runs = _view(group["h"], W.U), _view(group["run"], np.int32)
-    words, counts = _view(group["w"], W.U), _view(group["n"], np.int32)
+    words, counts = [_whole(x) for x in group["w"].to_pylist()], _view(group["n"], np.int32)
     h = np.concatenate([np.repeat(a, b) for a, b in zip(names, runs)])
     w, n = np.concatenate(words), np.concatenate(counts)
     order = np.lexsort((w, h))
@@ -150,7 +164,7 @@ def count_range(group: pa.Table) -> pa.Table:
         size = int(runs[len(rows)].sum())
         rows.append({
             "kind": "answer", "block": block, "h": own.tobytes(),
-            "ch": ch[np.searchsorted(hist, own)].tobytes(), "chw": back[at : at + size].astype(np.int32).tobytes(),
+            "ch": ch[np.searchsorted(hist, own)].astype(np.int32).tobytes(), "chw": back[at : at + size].astype(np.int32).tobytes(),
         })
         at += size
     kept = total >= LEAST
@@ -158,12 +172,11 @@ def count_range(group: pa.Table) -> pa.Table:
     seen = ch > 0
     stats = {f"u{r}": int((ch[seen] == r).sum()) for r in range(1, TOP + 2)} | {f"b{r}": int((total == r).sum()) for r in range(1, TOP + 2)}
     stats |= {"tokens": int(ch.sum()), "words": int(seen.sum()), "docs": int(ch[hist == START].sum())}
-    of_h = np.repeat(ch, np.diff(np.append(first, len(h))))
     signed = lambda x: x.view(np.int64).tolist()
     rows += [
         {"kind": "stats", **stats},
         {"kind": "unigrams", "hs": signed(word[seen]), "cs": ch[seen].tolist()},
-        {"kind": "bigrams", "hs": signed(h[kept]), "ws": signed(w[kept]), "cs": (of_h[kept] * 0 + total[kept]).tolist(), "ch": of_h[kept].tobytes()},
+        {"kind": "bigrams", "hs": signed(h[kept]), "ws": signed(w[kept]), "cs": total[kept].tolist()},
     ]
     bucket = group["bucket"][0].as_py()
     fields = []
@@ -223,7 +236,8 @@ def bigrams(counted: DataFrame) -> DataFrame:
 
 def backoff(counted: DataFrame, weights: Weights) -> DataFrame:
     """(h, mass, low): discounted counts of the stored successors of a history, and their unigram mass."""
-    of = unigrams(counted).withColumnRenamed("c", "cw")
+    of = unigrams(counted).select(F.col("w").bitwiseAND(F.lit(SHORT)).alias("w"), F.col("c").alias("cw"))
+    of = of.groupBy("w").agg(F.max("cw").alias("cw"))
     low = weights.column(F.col("cw"), weights.uni) / F.lit(float(weights.total))
     pairs = bigrams(counted).join(of, "w")
     return pairs.groupBy("h").agg(F.sum(weights.column(F.col("c"), weights.bi)).alias("mass"), F.sum(low).alias("low"))
@@ -234,20 +248,20 @@ def _attach(answers: pa.Table, weights: pa.Table) -> pa.Table:
     h = np.asarray(weights["h"]).astype(np.int64).view(W.U)
     order = np.argsort(h)
     h, mass, low = h[order], np.asarray(weights["mass"])[order], np.asarray(weights["low"])[order]
-    den, alpha = [], []
-    for own, ch in zip(_view(answers["h"], W.U), _view(answers["ch"], np.int64)):
-        d, a = ch.copy(), np.ones(len(own))
+    more, alpha = [], []
+    for own, ch in zip(_view(answers["h"], W.U), _view(answers["ch"], np.int32)):
+        plus, a = np.zeros(len(own), np.int8), np.ones(len(own))
         if len(h):
             at = np.minimum(np.searchsorted(h, own), len(h) - 1)
             hit = h[at] == own
             m, u = mass[at[hit]], low[at[hit]]
-            d[hit] += m >= d[hit] - 1e-9
-            a[hit] = (1 - m / d[hit]) / (1 - u)
-        den.append(d.tobytes())
+            plus[hit] = m >= ch[hit] - 1e-9
+            a[hit] = (1 - m / (ch[hit] + plus[hit])) / (1 - u)
+        more.append(plus.tobytes())
         alpha.append(a.tobytes())
     return pa.table({
         "block": answers["block"], "bucket": answers["bucket"], "ch": answers["ch"], "chw": answers["chw"],
-        "den": pa.array(den, pa.binary()), "alpha": pa.array(alpha, pa.binary()),
+        "more": pa.array(more, pa.binary()), "alpha": pa.array(alpha, pa.binary()),
     })
 
 
@@ -258,9 +272,10 @@ def _evaluate(weights: Weights):
         b = Block(docs["text"].chunks, ~held)
         order = np.argsort(np.asarray(answers["bucket"]))
         answers = answers.take(pa.array(order))
-        ch, den, alpha, chw = (
-            np.concatenate(_view(answers[c], k)) for c, k in (("ch", np.int64), ("den", np.int64), ("alpha", np.float64), ("chw", np.int32))
+        ch, more, alpha, chw = (
+            np.concatenate(_view(answers[c], k)) for c, k in (("ch", np.int32), ("more", np.int8), ("alpha", np.float64), ("chw", np.int32))
         )
+        ch, den = ch.astype(np.int64), ch.astype(np.int64) + more
         if len(ch) != len(b.names) or len(chw) != len(b.h):
             raise RuntimeError("a block changed between two reads of the documents")
         of_h = np.repeat(np.arange(len(b.names)), b.run)
@@ -282,7 +297,8 @@ def _evaluate(weights: Weights):
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of ``docs``
+    (a stored table: its rows are read twice and keep their partitions)."""
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // RANGE_BYTES).bit_length())
@@ -294,6 +310,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     low = backoff(counted, weights).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     answers = counted.where("kind = 'answer'").select("bucket", "block", "h", "ch", "chw")
     full = answers.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(
-        _attach, "block long, bucket long, ch binary, chw binary, den binary, alpha binary"
+        _attach, "block long, bucket long, ch binary, chw binary, more binary, alpha binary"
     )
     return rows.groupBy("block").cogroup(full.groupBy("block")).applyInArrow(_evaluate(weights), SCORES)
