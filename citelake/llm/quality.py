@@ -24,7 +24,7 @@ from citelake.llm import words as W
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000  # rows at most that the target multinomial is fitted on
-PRIOR = 1.0  # pseudo-count of each bucket
+STRENGTH = float(BUCKETS)  # n-grams that the raw corpus counts for in the target: few trusted rows decide little
 THRESHOLD = -0.3  # mean log ratio (nats) below which a document is rejected
 
 SYMBOLS = np.zeros(256, bool)
@@ -76,8 +76,9 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         counts[row.side, row.bucket] = row.n
     if not counts[1].any():
         return np.zeros(BUCKETS)
-    share = (counts + PRIOR) / (counts.sum(1, keepdims=True) + PRIOR * BUCKETS)
-    return np.log(share[1]) - np.log(share[0])
+    raw = (counts[0] + 1) / (counts[0].sum() + BUCKETS)
+    target = (counts[1] + STRENGTH * raw) / (counts[1].sum() + STRENGTH)
+    return np.log(target) - np.log(raw)
 
 
 def _measures(texts: W.Texts) -> dict[str, np.ndarray]:
