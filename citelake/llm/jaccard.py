@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.llm import words as W
@@ -174,12 +174,12 @@ def choose_lengths(postings: DataFrame, join: Join) -> DataFrame:
 def _near(a: str, b: str, join: Join) -> Column:
     """Size bound, and the overlap that is left if this shingle is the first that both share.
 
-    A linked pair passes at its first shared shingle, so rows are judged one by one; where both sets have
-    the same shingle before this one, it is not the first.
+    A linked pair passes at its first shared shingle, so rows are judged one by one; where the shared
+    shingle before this one is the same in both, this is not the first.
     """
     n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "i") for x in (a, b))
     left = 1 + F.least(n - i - 1, m - j - 1)
-    first = ~F.col(f"{a}.before").eqNullSafe(F.col(f"{b}.before")) | (i == 0) | (j == 0)
+    first = F.coalesce(F.col(f"{a}.before") != F.col(f"{b}.before"), F.lit(True))
     return (join.least(F.greatest(n, m)) <= F.least(n, m)) & (left >= join.both(n, m)) & first
 
 
@@ -219,14 +219,15 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
     reps = signed.where("n > 0").join(modest(other), "r", "left_anti")
 
-    rows = reps.select("k", "n", "prefix", F.posexplode("prefix").alias("i", "s"))
+    rows = reps.select("k", "n", F.posexplode("prefix").alias("i", "s"))
     shared = scratch.put(rows.groupBy("s").agg(F.count("*").alias("g")).where("g > 1"))
-    before = F.coalesce(F.get("prefix", F.col("i") - 1), F.lit(0))
-    postings = scratch.put(rows.join(modest(shared), "s").select("s", "k", "n", "i", "g", before.alias("before")))
+    postings = scratch.put(rows.join(shared, "s"))
     chosen = scratch.put(choose_lengths(postings, join))
     reach = F.col("n") - join.least(F.col("n")) + F.col("l")
     prefixes = scratch.put(reps.join(modest(chosen), "k").select("k", "l", F.slice("prefix", 1, reach).alias("own")))
-    postings = scratch.put(postings.join(modest(chosen), "k").where(F.col("i") < reach).select("s", "k", "n", "i", "before"))
+    postings = scratch.put(postings.join(modest(chosen), "k").where(F.col("i") < reach).select(
+        "s", "k", "n", "i", F.lag("s").over(Window.partitionBy("k").orderBy("i")).alias("before")  # bounded by a prefix
+    ))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links (a, b) among candidates: shared prefixes first, then whole sets made from the texts."""
