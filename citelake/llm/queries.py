@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citelake.llm import chat, contamination, jaccard, lm, mixing, quality, secrets, sharding, tokens, toxicity
+from citelake.llm.store import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +19,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -47,3 +47,11 @@ def modest(table: DataFrame, limit: int = MODEST) -> DataFrame:
     Beyond that it is left as it is, and the join shuffles both sides; the result is the same.
     """
     return F.broadcast(table) if table.count() <= limit else table
+
+
+def short_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Whole texts reach Python in Arrow batches of ``rows`` at most; the default of 10,000 is kept by no executor
+    of small memory. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
+        spark.conf.set(key, str(rows))
