@@ -59,7 +59,7 @@ def text_decode_fallback(spark, d):
 @query
 def file_manifest(spark, d):
     return files.manifest(spark, d, ("parquet",), magic={"parquet": b"PAR1"}).select(
-        "name", "size", "extension", "content_fits"
+        "name", "size", "extension", "too_large", "content_fits"
     )
 
 

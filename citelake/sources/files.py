@@ -20,23 +20,30 @@ def manifest(
     magic: dict[str, bytes] = MAGIC,
     check_magic: bool = True,
 ) -> DataFrame:
-    """Files of ``path``, newest first: name, path, size, time and whether the first bytes fit.
+    """Files of ``path``, newest first: name, path, size, time, whether it is too large, and whether the first
+    bytes fit (null for files that are too large).
 
-    The size filter reaches the file listing, so no larger file is ever opened; without the check of
-    first bytes no file is opened at all.
+    Every file is listed. Files over the limit are not opened: the size condition reaches the listing; without
+    the check of first bytes no file is opened at all.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path)
-    files = files.where(F.col("length") <= max_bytes)
     extension = F.lower(F.substring_index("path", ".", -1))
     fits = F.lit(True)
     if check_magic:
         for ext, first in magic.items():
             fits = F.when(extension == ext, F.substring("content", 1, len(first)) == F.lit(first)).otherwise(fits)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("name"),
-        "path",
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-        extension.alias("extension"),
-        fits.alias("content_fits"),
-    ).orderBy(F.desc("modified"), "name")
+    large = F.col("length") > max_bytes
+
+    def listed(some: DataFrame, fits) -> DataFrame:
+        return some.select(
+            F.substring_index("path", "/", -1).alias("name"),
+            "path",
+            F.col("length").alias("size"),
+            F.col("modificationTime").alias("modified"),
+            extension.alias("extension"),
+            large.alias("too_large"),
+            fits.alias("content_fits"),
+        )
+
+    whole = listed(files.where(~large), fits).unionByName(listed(files.where(large), F.lit(None).cast("boolean")))
+    return whole.orderBy(F.desc("modified"), "name")

@@ -40,8 +40,8 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"x")
     (tmp_path / "d.exe").write_bytes(b"x")
     (tmp_path / "big.txt").write_bytes(b"x" * 2000)
-    got = {r["name"]: r["content_fits"] for r in files.manifest(spark, str(tmp_path), max_bytes=1000).collect()}
-    assert got == {"a.pdf": True, "b.pdf": False, "c.txt": True}
+    got = {r["name"]: (r["content_fits"], r["too_large"]) for r in files.manifest(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert got == {"a.pdf": (True, False), "b.pdf": (False, False), "c.txt": (True, False), "big.txt": (None, True)}
 
 
 def test_alias_file(spark, tmp_path):
