@@ -309,14 +309,22 @@ NUMBER_WORDS_HUNDREDS = [
     "setecientos", "ochocientos", "novecientos",
 ]
 
+# ---------------------------------------------------------------------------
+# END OF FIXED VALUES
+# ---------------------------------------------------------------------------
+
 # Added rules of our own, not published values: informal EU forms and sentence-level concepts.
 EU_INFORMAL = {
     "Reglamento": r"^(?:Reglamento|Regl?\.)\s*\(?(UE|CE)\)?\s*((?:N[oº]\.?\s*)?\d+/\d+)",
     "Directiva": r"^(?:Directiva|Dir\.)\s*\(?(UE|CE)\)?\s*((?:N[oº]\.?\s*)?\d+/\d+)",
 }
-# ---------------------------------------------------------------------------
-# END OF FIXED VALUES
-# ---------------------------------------------------------------------------
+
+# Decree-laws are norms of their own. B has the spaced form among its published rules.
+PROFILE_PATTERNS = PROFILE_PATTERNS + [
+    ("A", "ley", r"Real\s+Decreto[\s-]+Ley\s+(\d+/\d{4})", False, 80, None),
+    ("B", "real_decreto", r"Real\s+Decreto\s*-\s*Ley\s+(\d+/\d{4})", False, 70, True),
+    ("C", "real_decreto", r"Real\s+Decreto[\s-]+Ley\s+(\d+/\d{4})", True, 75, None),
+]
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -80,6 +80,7 @@ def law_form(law: Column) -> tuple[Column, Column]:
 
 
 LAW_IN_TEXT = [
+    r"Real\s+Decreto(?:[\s-]+Ley|\s+Legislativo)\s+(?:\d+/\d{4})",
     r"Ley\s+(?:Orgánica\s+)?(?:\d+/\d{4})",
     r"Real\s+Decreto\s+(?:Ley\s+)?(?:\d+/\d{4})",
     r"Constitución\s+Española",
@@ -99,6 +100,7 @@ def numbered_key(ref: Column) -> Column:
                 dims.number_key(F.lit(kind), F.regexp_extract(ref, FOLD + p, 1)),
             )
             for kind, p in [
+                ("Real Decreto-ley", r"Real\s+Decreto[\s-]+Ley\s+(\d+/\d{4})"),
                 ("Real Decreto Legislativo", r"Real\s+Decreto\s+Legislativo\s+(\d+/\d{4})"),
                 ("Ley Orgánica", r"Ley\s+Orgánica\s+(\d+/\d{4})"),
                 ("Ley", r"Ley\s+(\d+/\d{4})"),

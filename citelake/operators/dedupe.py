@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,37 +48,41 @@ def new_texts_squeezed(new: DataFrame, previous: DataFrame) -> DataFrame:
 def greedy_first(rows: DataFrame, values: Column) -> DataFrame:
     """In document order, keep a row when none of its ``values`` was brought in by a kept row.
 
+    Document order is start, then agent, then mention id: several profiles may find a mention at one
+    place. ``mention_id`` names a row within its document.
+
     The order-dependent rule is run in passes over whole tables: a row that is the first holder of
     all its values among the open rows must be kept; rows that share a value with it must go. The
     passes end when no row is open, and the result is the same as that of the one-by-one rule.
-    Nulls in ``values`` are no values. The order column is ``start``; it is unique in a document.
+    Nulls in ``values`` are no values.
     """
-    wanted = rows.withColumn("__values", F.array_distinct(F.array_compact(values)))
+    place = F.struct(F.col("start"), agent_rank(F.col("agent")).alias("rank"), F.col("mention_id"))
+    wanted = rows.select("doc_id", place.alias("__at"), F.array_distinct(F.array_compact(values)).alias("__values"))
     # a later row with the very same values can never be kept; a row without values always is
-    items = wanted.where(F.size("__values") > 0).groupBy("doc_id", "__values").agg(F.min("start").alias("start"))
+    items = wanted.where(F.size("__values") > 0).groupBy("doc_id", "__values").agg(F.min("__at").alias("__at"))
     open_rows = cut_lineage(items)
-    kept = wanted.where(F.size("__values") == 0).select("doc_id", "start")
+    kept = wanted.where(F.size("__values") == 0).select("doc_id", "__at.mention_id")
     while not open_rows.isEmpty():
-        holders = open_rows.select("doc_id", "start", "__values", F.explode("__values").alias("__value"))
-        first = holders.groupBy("doc_id", "__value").agg(F.min("start").alias("__first"))
+        holders = open_rows.select("doc_id", "__at", "__values", F.explode("__values").alias("__value"))
+        first = holders.groupBy("doc_id", "__value").agg(F.min("__at").alias("__first"))
         winners = cut_lineage(
             holders.join(first, ["doc_id", "__value"])
-            .groupBy("doc_id", "start", "__values")
-            .agg(F.bool_and(F.col("__first") == F.col("start")).alias("__free"))
+            .groupBy("doc_id", "__at", "__values")
+            .agg(F.bool_and(F.col("__first") == F.col("__at")).alias("__free"))
             .where("__free")
-            .select("doc_id", "start", "__values")
+            .select("doc_id", "__at", "__values")
         )
-        kept = kept.unionByName(winners.select("doc_id", "start"))
+        kept = kept.unionByName(winners.select("doc_id", "__at.mention_id"))
         # the winners hold their own values, so this closes them together with their rivals
         taken = winners.select("doc_id", F.explode("__values").alias("__value"), F.lit(True).alias("__taken"))
         open_rows = cut_lineage(
             holders.join(taken, ["doc_id", "__value"], "left")
-            .groupBy("doc_id", "start", "__values")
+            .groupBy("doc_id", "__at", "__values")
             .agg(F.count("__taken").alias("__hits"))
             .where(F.col("__hits") == 0)
-            .select("doc_id", "start", "__values")
+            .select("doc_id", "__at", "__values")
         )
-    return rows.join(kept, ["doc_id", "start"], "left_semi")
+    return rows.join(kept, ["doc_id", "mention_id"], "left_semi")
 
 
 def new_texts_or_laws(new: DataFrame, previous: DataFrame) -> DataFrame:
@@ -101,7 +106,9 @@ def dedupe_text_or_law(mentions: DataFrame) -> DataFrame:
 
 
 def with_key(mentions: DataFrame) -> DataFrame:
-    return mentions.withColumn("key", canonical_key(F.col("boe_id"), F.col("law"), F.col("article")))
+    """Comparison key by registry id, else by CELEX, normal form or law as written, where there is such a column."""
+    law = F.coalesce(*[F.col(c) for c in ("celex", "law_norm", "law") if c in mentions.columns])
+    return mentions.withColumn("key", canonical_key(F.col("boe_id"), law, F.col("article")))
 
 
 def dedupe_canonical(mentions: DataFrame) -> DataFrame:
@@ -160,9 +167,9 @@ def converge(
     candidates: DataFrame,
     rungs: int,
     expand: Callable[[DataFrame], DataFrame],
-    max_rounds: int = 7,
+    max_rounds: int | None = None,
 ) -> DataFrame:
-    """Rounds until no new mention comes up.
+    """Rounds until no new mention comes up, or ``max_rounds`` where that is asked for.
 
     ``candidates(doc_id, key, rung)`` come from one scan of the documents. Rounds 1 to ``rungs``
     take the candidates of that rung; later rounds take ``expand`` of the newest mentions, so a
@@ -171,7 +178,7 @@ def converge(
     """
     candidates = cut_lineage(candidates.select("doc_id", "key", "rung").distinct())
     found, newest = None, None
-    for step in range(1, max_rounds + 1):
+    for step in count(1) if max_rounds is None else range(1, max_rounds + 1):
         if step <= rungs:
             pool = candidates.where(F.col("rung") == step).select("doc_id", "key")
         else:

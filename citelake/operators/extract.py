@@ -22,9 +22,13 @@ def mention_id(*parts: Column) -> Column:
 
 _NUMBER = r"\d/\d{4}"
 
+#: a "Ley" that ends the type word of a decree-law is no law of its own
+_OWN_TYPE = r"(?<!Decreto[\s-]{1,9})"
+
 
 def _marked(rule: int, pattern: str) -> Column:
-    pieces = mark(F.col("text"), FOLD + pattern)
+    guard = _OWN_TYPE if pattern.startswith("Ley") else ""
+    pieces = mark(F.col("text"), FOLD + guard + pattern)
     if _NUMBER[2:] in pattern:
         pieces = F.when(F.col("__numbered"), pieces)
     return F.struct(F.lit(rule).alias("rule"), pieces.alias("pieces"))
@@ -182,13 +186,11 @@ def context_window(text: Column, place: Column, window: int = 1500) -> Column:
 
 
 def with_context(docs: DataFrame, window: int = 1500) -> DataFrame:
-    """Mentions with their context. The text stays in its row; no text is shuffled."""
-    lowered = docs.withColumn("low", F.lower("text"))
-    mentions = extract(lowered, keep=("text", "low"))
-    placed = mentions.withColumn("place", position_in(F.col("doc_text"), F.col("low"), F.col("text")))
+    """Mentions with the context of their own place. The text stays in its row; no text is shuffled."""
+    placed = extract(docs, keep=("text",)).withColumn("place", F.col("start") + 1)
     return placed.withColumn(
         "context", context_window(F.col("doc_text"), F.col("place"), window)
-    ).drop("doc_text", "low")
+    ).drop("doc_text")
 
 
 def drop_noise(mentions: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def previous_article(mentions: DataFrame, width: int) -> DataFrame:
 
 def batches(mentions: DataFrame, size: int, width: int) -> DataFrame:
     """Number the mentions of a document and cut them into batches: batch_id and 1-based idx."""
-    numbered = number_rows(mentions, ["doc_id"], "start", "__n", width)
+    numbered = number_rows(mentions, ["doc_id"], "start", "__n", width, ties=("agent", "mention_id"))
     return numbered.select(
         *mentions.columns,
         F.floor((F.col("__n") - 1) / size).cast("int").alias("batch_id"),

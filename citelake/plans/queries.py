@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citelake import dims
 from citelake.functions import legal, markup, text
 from citelake.operators import (
-    audit, consensus, dedupe, extract, filters, infer, laws, normalize, registry, report, requests, resolve,
+    audit, consensus, dedupe, extract, filters, infer, laws, normalize, registry, report, requests, resolve, whole,
 )
 from citelake.plans import fixtures as fx
 from citelake.sources import cache, files, topics
@@ -1049,3 +1049,26 @@ def top_cited_laws(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["top_cited_laws"] = top_cited_laws
+
+
+@query
+def pipeline_mentions(spark, d):
+    return whole.accepted(whole.found_mentions(fx.cited_documents(spark, d)))
+
+
+@query
+def pipeline_consensus(spark, d):
+    return consensus.consensus(whole.found_mentions(fx.cited_documents(spark, d)))
+
+
+@query
+def pipeline_audit(spark, d):
+    rows = audit.audit(whole.accepted(whole.found_mentions(fx.cited_documents(spark, d))))
+    nested = [c for c, kind in rows.dtypes if kind.startswith(("array", "struct"))]
+    return rows.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in rows.columns])
+
+
+@query
+def pipeline_report(spark, d):
+    verified = filters.exportable(whole.accepted(whole.found_mentions(fx.cited_documents(spark, d))))
+    return report.report_markdown(verified, "01/01/2024 00:00", TEXT_WIDTH)

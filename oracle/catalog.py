@@ -201,7 +201,7 @@ ORACLE["explode_multi_article"] = ctes(rows=fx.sql("lineitem", fx.ARTICLE_LISTS)
 ORACLE["mention_context"] = _docs(
     "SELECT doc_id, mention_id, text, CAST(place AS INTEGER) AS place, CASE WHEN b > 0 THEN '...' ELSE '' END || substr(body, b + 1, e - b)"
     " || CASE WHEN e < length(body) THEN '...' ELSE '' END AS context FROM (SELECT *, greatest(place - 1 - 1500, 0) AS b,"
-    " least(length(body), place - 1 + 1500) AS e FROM (SELECT m.doc_id, m.mention_id, m.text, d.text AS body, instr(lower(d.text), lower(m.text)) AS place"
+    " least(length(body), place - 1 + 1500) AS e FROM (SELECT m.doc_id, m.mention_id, m.text, d.text AS body, m.start + 1 AS place"
     f" FROM ({s.mentions()}) m JOIN docs d ON m.doc_id = d.doc_id))"
 )
 ORACLE["drop_caselaw"] = ctes(rows=fx.sql("lineitem", fx.NOISY_MENTIONS)) + (

@@ -112,6 +112,7 @@ def clean_reference(c: str) -> str:
 
 def numbered_key(c: str) -> str:
     forms = [
+        ("real decreto-ley", r"Real\s+Decreto[\s-]+Ley\s+(\d+/\d{4})"),
         ("real decreto legislativo", r"Real\s+Decreto\s+Legislativo\s+(\d+/\d{4})"),
         ("ley orgánica", r"Ley\s+Orgánica\s+(\d+/\d{4})"),
         ("ley", r"Ley\s+(\d+/\d{4})"),
