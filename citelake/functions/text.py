@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,14 +125,30 @@ def find_in(pieces: Column) -> Column:
     )
 
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&#39;", "'"), ("&amp;", "&")]
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _character(name: Column) -> Column:
+    """The character of a reference's name: a number after ``#``, or a named HTML 4 entity; null if unknown."""
+    names = F.create_map(*[F.lit(x) for n, code in sorted(name2codepoint.items()) for x in (n, chr(code))])
+    hexed = F.lower(F.substring(name, 2, 1)) == "x"
+    code = F.when(hexed, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+    numbered = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+    return F.when(F.startswith(name, F.lit("#")), numbered).otherwise(F.try_element_at(names, name))
 
 
 def unescape(c: Column) -> Column:
-    """The five named entities and the no-break space; ``&amp;`` last, as one decoding pass."""
-    for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Entities decoded in one pass: numeric references and the named ones of HTML 4; others stay."""
+
+    def decoded(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        char = F.when(name != "", _character(name))
+        rest = F.concat(char, F.substr(piece, F.length(name) + 2))
+        return F.when(i == 0, piece).otherwise(F.coalesce(rest, F.concat(F.lit("&"), piece)))
+
+    whole = F.array_join(F.transform(F.split(c, "&", -1), decoded), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def strip_tags(html: Column) -> Column:

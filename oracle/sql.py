@@ -4,6 +4,7 @@ row-wise and without the library's expressions."""
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from citelake import dims
 from citelake.functions import legal
@@ -206,7 +207,8 @@ def stripped(c: str) -> str:
 
 
 def _unescaped(c: str) -> str:
-    for entity, char in [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&nbsp;", "chr(160)"), ("&#39;", "''''"), ("&amp;", "'&'")]:
+    named = [(f"&{n};", f"chr({code})") for n, code in name2codepoint.items() if n != "amp"]
+    for entity, char in [*named, ("&#39;", "chr(39)"), ("&amp;", "chr(38)")]:
         c = f"replace({c}, '{entity}', {char})"
     return f"trim(regexp_replace({c}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
