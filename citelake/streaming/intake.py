@@ -11,15 +11,17 @@ from citelake.operators.extract import extract
 from citelake.session import checkpoint_dir
 
 
-def arriving(spark: SparkSession, path: str, schema, pattern: str, delay: str = "1 day") -> DataFrame:
+def arriving(spark: SparkSession, path: str, schema, pattern: str) -> DataFrame:
     """Stream of the Parquet files that match ``pattern``, without documents that arrive again.
 
-    Equal documents (same id and text) within ``delay`` of their first arrival are dropped; the
-    watermark lets their state go afterwards.
+    Equal documents (same id and text) are taken once, however far apart they arrive. There is no
+    watermark: a file's time says nothing about its documents, and restored or copied files have old
+    ones. The state keeps one (id, digest) per document and grows with their number.
     """
-    files = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
-    arrived = files.withColumn("arrived", F.col("_metadata.file_modification_time")).withColumn("digest", F.md5("text"))
-    return arrived.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["doc_id", "digest"])
+    source = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    # without it the source passes over files that are a week older than the newest one
+    files = source.option("maxFileAge", "36500d").parquet(path)
+    return files.withColumn("digest", F.md5("text")).dropDuplicates(["doc_id", "digest"])
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

@@ -64,3 +64,26 @@ def test_batch_sessions(spark, sf_dir):
     log = fx.job_log(spark, sf_dir)
     sessions = jobs.stream_sessions(log)
     assert sessions.agg({"events": "sum"}).first()[0] == log.count()
+
+
+def test_intake_takes_files_with_old_times(spark, tmp_path):
+    import os
+    import uuid
+
+    schema = "doc_id long, text string"
+    base = tmp_path / "late"
+    out, state = str(base / "out"), str(base / uuid.uuid4().hex)
+
+    def run():
+        stream = intake.arriving(spark, str(base / "in" / "*"), schema, "*.parquet").select("doc_id", "text")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).coalesce(1).write.parquet(str(base / "in" / "first"))
+    run()
+    spark.createDataFrame([(2, "b"), (3, "c")], schema).coalesce(1).write.parquet(str(base / "in" / "second"))
+    for part in (base / "in" / "second").glob("*.parquet"):
+        os.utime(part, (0, 0))
+    run()
+    assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
