@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm import words as W
-from citelake.llm.store import Scratch
+from citelake.llm.store import Scratch, steady_splits
 
 BLOCK = 12  # bits: rows of one input partition that form a block
 RANGE_BYTES = 12 << 20  # text bytes per range of histories
@@ -300,6 +300,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of ``docs``
     (a stored table: its rows are read twice and keep their partitions)."""
     scratch = Scratch(docs.sparkSession)
+    steady_splits(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // RANGE_BYTES).bit_length())
     rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("id"))

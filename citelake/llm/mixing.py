@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelake.llm.store import Scratch, modest
+from citelake.llm.store import Scratch, modest, steady_splits
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -171,6 +171,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows are drawn without their texts; the numbers then meet the texts by row id.
     """
     scratch = Scratch(docs.sparkSession)
+    steady_splits(docs.sparkSession)
     row = F.monotonically_increasing_id()
     sized = scratch.put(_sized(docs, row.alias("id")))
     drawn = draw(sized, scratch.put(plan(sized, scratch.put(targets(sized)))))

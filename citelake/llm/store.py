@@ -55,3 +55,14 @@ def short_batches(spark: SparkSession, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
         spark.conf.set(key, str(rows))
+
+
+def steady_splits(spark: SparkSession) -> None:
+    """Keep the splits of stored tables the same between two reads, so that row numbers by partition agree.
+
+    Spark sizes splits by the cores it has at the time, and executors come and go; the number is fixed at
+    its present value for the session unless it is set already.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
