@@ -14,7 +14,7 @@ components is lost. All comparisons end in an exact check on whole sets.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own
 component; fewer words than the width make one shingle of the whole sequence; rows with a null id
-have component null unless a row with an id has the same or a linked set; repeated rows are linked;
+have component null unless a row with an id has the same set, and pass no link on; repeated rows are linked;
 rows that repeat an id with another text follow their text. Sets are told apart by a 64-bit digest,
 shingles by 64-bit hashes. Other columns are ignored; ``drop_near_copies`` returns them unchanged.
 """
