@@ -1,11 +1,15 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then an overlap check.
 
 The index holds the test items; every training passage (``PASSAGE`` tokens, half overlapping) is a
-query. An item's term weights are its BM25 impacts divided by their sum, so an item found whole scores
-1 and one threshold serves all. WAND skips items whose upper bounds cannot reach the threshold, and
-per-block maxima tighten the bounds; every item at or above it is retrieved. Most passages are settled
-before that, for whole runs of texts at once: an item's weight in common terms is bounded, so a passage
-needs enough weight in the other, essential terms.
+query. An item is one entry of the index; an item of more than ``ENTRY`` tokens has, besides the whole,
+entries of ``ENTRY`` tokens that overlap by half or more. An entry's term weights are its BM25 impacts
+divided by their sum, so an entry found whole scores 1 and one threshold serves all. WAND skips entries
+whose upper bounds cannot reach the threshold, and per-block maxima tighten the bounds; every item with an
+entry at or above it is retrieved, with its best entry's score. Wherever a copy of an entry of ``ENTRY``
+tokens begins, what the better of two neighbouring passages leaves out of it is at most half of its weight,
+so a verbatim copy of an item of any length is retrieved. Most passages are settled before that, for
+whole runs of texts at once: an entry's weight in common terms is bounded, so a passage needs enough weight
+in the other, essential terms.
 
 A retrieved item counts as leaked if its question (all but the last sentence) and its answer (the last
 sentence; of one sentence the last third) both overlap with the document around the passage.
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from citelake.llm import words as W
 
 PASSAGE = 64  # tokens
+ENTRY = 48  # tokens; at most 3/4 of a passage
 THRESHOLD = 0.5  # of an item's own score
 OVERLAP = 0.6  # share of question and of answer n-grams that must be found
 GRAM = 3  # tokens
@@ -57,6 +62,15 @@ def _share(wanted: set, there: np.ndarray) -> float:
     return len(wanted & found) / len(wanted)
 
 
+def _entries(tokens: np.ndarray) -> list[np.ndarray]:
+    """The whole item and, if it is longer than ``ENTRY`` tokens, evenly spaced parts of that length."""
+    beyond = len(tokens) - ENTRY
+    if beyond <= 0:
+        return [tokens]
+    starts = np.linspace(0, beyond, -(-beyond // (ENTRY // 2)) + 1).astype(np.int64).tolist()
+    return [tokens, *(tokens[i : i + ENTRY] for i in starts)]
+
+
 class Index:
     """Inverted index of one block of items, with block maxima."""
 
@@ -88,36 +102,36 @@ class Index:
         self._weigh([r[1] for r in rows])
 
     def _weigh(self, rows: list[np.ndarray]) -> None:
-        count = [np.unique(r, return_counts=True) for r in rows]
         df: dict[int, int] = defaultdict(int)
-        for terms, _ in count:
-            for t in terms.tolist():
+        for r in rows:
+            for t in np.unique(r).tolist():
                 df[t] += 1
+        entries = [(item, e) for item, r in enumerate(rows) for e in _entries(r)]
+        self.item = [item for item, _ in entries]  # of each entry
         n, mean = len(rows), float(self.length.mean()) if len(rows) else 1.0
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         common_first = sorted(df, key=lambda t: (-df[t], t))
-        weights: list[dict[int, float]] = []
-        for item, (terms, tf) in enumerate(count):
-            k = K1 * (1 - B + B * self.length[item] / mean)
+        for entry, (_, tokens) in enumerate(entries):
+            terms, tf = np.unique(tokens, return_counts=True)
+            k = K1 * (1 - B + B * len(tokens) / mean)
             impact = {
                 t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + k)
                 for t, f in zip(terms.tolist(), tf.tolist())
             }
             total = sum(impact.values())
-            weights.append({t: v / total for t, v in impact.items()})
-            for t, v in weights[-1].items():
-                postings[t].append((item, v))
-        # Terms by falling document frequency are set aside while no item has too much weight in them.
+            for t, v in impact.items():
+                postings[t].append((entry, v / total))
+        # Terms by falling document frequency are set aside while no entry has too much weight in them.
         essential = set(df)
-        spent = np.zeros(n)
+        spent = np.zeros(len(entries))
         for t in common_first:
-            grown = [(item, spent[item] + v) for item, v in postings[t]]
+            grown = [(entry, spent[entry] + v) for entry, v in postings[t]]
             if max(v for _, v in grown) >= self.threshold * ASIDE:
                 break
-            for item, v in grown:
-                spent[item] = v
+            for entry, v in grown:
+                spent[entry] = v
             essential.discard(t)
-        self.needed = self.threshold - spent - 1e-9  # weight that essential terms must bring, by item
+        self.needed = self.threshold - spent - 1e-9  # weight that essential terms must bring, by entry
         self.postings = {
             t: (
                 [i for i, _ in p],
@@ -133,19 +147,19 @@ class Index:
         flat = [self.postings[t] if t in essential else ([], []) for t in self.vocabulary.tolist()]
         self.many = np.array([len(p[0]) for p in flat], np.int64)
         self.begin = np.cumsum(self.many) - self.many
-        self.flat_item = np.array([i for p in flat for i in p[0]], np.int64)
+        self.flat_entry = np.array([i for p in flat for i in p[0]], np.int64)
         self.flat_weight = np.array([v for p in flat for v in p[1]])
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All items whose score over the distinct ``terms`` reaches the threshold: block-max WAND."""
+        """All entries whose score over the distinct ``terms`` reaches the threshold: block-max WAND."""
         lists = [self.postings[t] for t in terms]
         at = [0] * len(lists)
-        end = len(self.ids)
+        end = len(self.item)
         head = lambda k: lists[k][0][at[k]] if at[k] < len(lists[k][0]) else end
 
-        def seek(k: int, item: int) -> None:
+        def seek(k: int, entry: int) -> None:
             where = lists[k][0]
-            while at[k] < len(where) and where[at[k]] < item:
+            while at[k] < len(where) and where[at[k]] < entry:
                 at[k] += 1
 
         live, out = list(range(len(lists))), []
@@ -159,30 +173,30 @@ class Index:
                     break
             if pivot is None:
                 return out
-            item = head(live[pivot])
-            while pivot + 1 < len(live) and head(live[pivot + 1]) == item:
+            entry = head(live[pivot])
+            while pivot + 1 < len(live) and head(live[pivot + 1]) == entry:
                 pivot += 1
             ahead, beyond, tight = live[: pivot + 1], end, 0.0
-            for k in ahead:  # block that would hold the item
+            for k in ahead:  # block that would hold the entry
                 where = lists[k][0]
                 i = at[k] // BLOCK
-                while (i + 1) * BLOCK < len(where) and where[(i + 1) * BLOCK] <= item:
+                while (i + 1) * BLOCK < len(where) and where[(i + 1) * BLOCK] <= entry:
                     i += 1
                 tight += lists[k][2][i]
                 beyond = min(beyond, where[(i + 1) * BLOCK] if (i + 1) * BLOCK < len(where) else end)
             if tight < self.threshold:
                 after = min(beyond, head(live[pivot + 1]) if pivot + 1 < len(live) else end)
                 for k in ahead:
-                    seek(k, max(after, item + 1))
-            elif head(ahead[0]) == item:
+                    seek(k, max(after, entry + 1))
+            elif head(ahead[0]) == entry:
                 score = sum(lists[k][1][at[k]] for k in ahead)
                 if score >= self.threshold:
-                    out.append((item, score))
+                    out.append((entry, score))
                 for k in ahead:
                     at[k] += 1
             else:
                 for k in ahead:
-                    seek(k, item)
+                    seek(k, entry)
 
     def leaks(self, texts: W.Texts, overlap: float) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(row, item, score, question overlap, answer overlap, passage) of verified items, best passage each."""
@@ -204,8 +218,8 @@ class Index:
         for p in range(len(low)):
             span = slice(low[p], high[p])
             terms = np.unique(tokens.hash[span][hit[span]]).tolist()
-            for item, score in self.search(terms):
-                key = (int(row[p]), item)
+            for entry, score in self.search(terms):
+                key = (int(row[p]), self.item[entry])
                 if key not in best or best[key][0] < score:
                     best[key] = (score, p)
         for (r, item), (score, p) in sorted(best.items()):
@@ -216,26 +230,26 @@ class Index:
                 yield r, item, score, question, answer, int(number[p])
 
     def _open(self, tokens, at, term, starts, first_half, halves):
-        """Passages in which some item's essential weight may suffice: bounds, row and number.
+        """Passages in which some entry's essential weight may suffice: bounds, row and number.
 
-        Weights are summed per (half passage, item), repeats included, for the whole run of texts.
+        Weights are summed per (half passage, entry), repeats included, for the whole run of texts.
         """
-        half, items = PASSAGE // 2, len(self.ids)
+        half, entries = PASSAGE // 2, len(self.item)
         many = self.many[term]
         where = np.repeat(self.begin[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         doc = tokens.doc[at]
         of = np.repeat(first_half[doc] + (at - starts[doc]) // half, many)
-        key = of * items + self.flat_item[where]
+        key = of * entries + self.flat_entry[where]
         order = np.argsort(key)
         key, weight = key[order], self.flat_weight[where][order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         cut = np.flatnonzero(new)
         key, total = key[cut], np.add.reduceat(weight, cut) if len(cut) else weight
-        after = np.minimum(np.searchsorted(key, key + items), max(len(key) - 1, 0))
-        both = total + np.where(key[after] == key + items, total[after], 0.0) if len(key) else total
-        needed = self.needed[key % items]
-        at_half = np.concatenate((key[both >= needed] // items, key[total >= needed] // items - 1))
+        after = np.minimum(np.searchsorted(key, key + entries), max(len(key) - 1, 0))
+        both = total + np.where(key[after] == key + entries, total[after], 0.0) if len(key) else total
+        needed = self.needed[key % entries]
+        at_half = np.concatenate((key[both >= needed] // entries, key[total >= needed] // entries - 1))
         # A half before a row's first belongs to another row; its passage is then looked at in vain.
         at_half = np.unique(at_half[at_half >= 0])
         row = np.searchsorted(first_half, at_half, "right") - 1

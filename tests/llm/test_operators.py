@@ -298,6 +298,30 @@ def test_decontamination(spark, docs, none):
     assert contamination.find_leaks(none, q).count() == 0 and contamination.find_leaks(d, q.limit(0)).count() == 0
 
 
+def long_item(seed, n, last=1 / 3):
+    """A question and an answer of ``n`` tokens together; every other token is a common word."""
+    rng = random.Random(seed)
+    w = [f"{'c' if i % 2 else f'i{seed}x'}{rng.randrange(9 if i % 2 else 10**6)}" for i in range(n)]
+    cut = n - int(n * last)
+    return " ".join(w[:cut]) + ". " + " ".join(w[cut:]) + "."
+
+
+def test_decontamination_finds_long_items(spark):
+    sizes = (48, 49, 59, 100, 129, 300, 1000)
+    items = [(n, long_item(n, n)) for n in sizes]
+    filler = [f"c{i % 9}" if i % 2 else f"f{i}" for i in range(2000)]
+    rows, want = [], set()
+    for n, text in items:
+        for offset in (0, 1, 17, 24, 31, 500):
+            rows.append((len(rows), " ".join([*filler[:offset], text, *filler[offset : offset + 40]])))
+            want.add((len(rows) - 1, n))
+        rows.append((len(rows), text[: text.index(".")] + " " + " ".join(filler)))  # the question alone
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contamination.find_leaks(d, q).collect()} == want
+    assert contamination.drop_leaks(d, q).count() == len(sizes)
+
+
 def test_wand_equals_full_scores():
     rng = random.Random(8)
     items = [(i, " ".join(f"t{rng.randrange(80)}" for _ in range(rng.randrange(1, 25)))) for i in range(120)]
