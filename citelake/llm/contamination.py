@@ -199,7 +199,10 @@ class Index:
                     seek(k, entry)
 
     def leaks(self, texts: W.Texts, overlap: float) -> Iterator[tuple[int, int, float, float, float, int]]:
-        """(row, item, score, question overlap, answer overlap, passage) of verified items, best passage each."""
+        """(row, item, score, question overlap, answer overlap, passage) of verified items.
+
+        Every retrieved passage counts; reported is the verified one with the highest score, then the first.
+        """
         tokens = texts.tokens(W.ALNUM, W.LOWER)
         n = len(tokens.hash)
         if not n or not len(self.vocabulary):
@@ -214,20 +217,21 @@ class Index:
         halves = -(-np.diff(starts) // half)
         first_half = np.cumsum(halves) - halves
         low, high, row, number = self._open(tokens, maybe[known], place[known], starts, first_half, halves)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        found: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)  # passages and their scores
         for p in range(len(low)):
             span = slice(low[p], high[p])
             terms = np.unique(tokens.hash[span][hit[span]]).tolist()
             for entry, score in self.search(terms):
-                key = (int(row[p]), self.item[entry])
-                if key not in best or best[key][0] < score:
-                    best[key] = (score, p)
-        for (r, item), (score, p) in sorted(best.items()):
+                scores = found[int(row[p]), self.item[entry]]
+                scores[p] = max(score, scores.get(p, 0.0))
+        for (r, item), scores in sorted(found.items()):
             reach = int(self.length[item])
-            there = tokens.hash[max(low[p] - reach, starts[r]) : min(high[p] + reach, starts[r + 1])]
-            question, answer = _share(self.question[item], there), _share(self.answer[item], there)
-            if min(question, answer) >= overlap:
-                yield r, item, score, question, answer, int(number[p])
+            for p, score in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
+                there = tokens.hash[max(low[p] - reach, starts[r]) : min(high[p] + reach, starts[r + 1])]
+                question, answer = _share(self.question[item], there), _share(self.answer[item], there)
+                if min(question, answer) >= overlap:
+                    yield r, item, score, question, answer, int(number[p])
+                    break
 
     def _open(self, tokens, at, term, starts, first_half, halves):
         """Passages in which some entry's essential weight may suffice: bounds, row and number.
@@ -286,7 +290,7 @@ def _scan(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id) of every leak, with its best passage, score and overlaps. No shuffle."""
+    """(doc_id, item_id) of every leak, with its best verified passage, score and overlaps. No shuffle."""
     out = None
     for index in indexes(items, threshold):
         part = _scan(docs, index, overlap)

@@ -322,6 +322,23 @@ def test_decontamination_finds_long_items(spark):
     assert contamination.drop_leaks(d, q).count() == len(sizes)
 
 
+def test_decontamination_verifies_every_passage(spark):
+    text = long_item(5, 59, 9 / 59)
+    question = text[: text.index(".")]
+    filler = [f"f{i}" for i in range(900)]
+    rows = []
+    for offset in range(300, 332):  # the copy straddles passages; the question alone lies in one, before or behind
+        copy = [*filler[160:offset], text, *filler[offset:600]]
+        alone = [*filler[600:632], question, *filler[632:760]]
+        rows += [(len(rows), " ".join([*alone, *copy])), (len(rows) + 1, " ".join([*copy, *alone]))]
+    rows.append((-1, " ".join(alone)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = contamination.find_leaks(d, q).collect()
+    assert sorted(r.doc_id for r in got) == list(range(64))
+    assert [r.doc_id for r in contamination.drop_leaks(d, q).collect()] == [-1]
+
+
 def test_wand_equals_full_scores():
     rng = random.Random(8)
     items = [(i, " ".join(f"t{rng.randrange(80)}" for _ in range(rng.randrange(1, 25)))) for i in range(120)]
