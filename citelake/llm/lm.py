@@ -3,8 +3,10 @@
 Counts. The tokens of a block of documents (``BLOCK`` rows of one input partition) are reduced to its
 distinct bigrams with their training counts, packed as arrays by range of the history's hash. Each range is
 one group: it adds the counts of all blocks, writes its part of the model tables (``unigrams``: word,
-count; ``bigrams``: history, word, count, for counts of ``LEAST`` and more) and answers every block with
-the counts it asked for. A frequent word sends one entry per block, not one per occurrence.
+count; ``bigrams``: history, word, count), asks the ranges of words for the unigram counts of its distinct
+successors, and answers every block with
+the counts it asked for. A frequent word sends one entry per block, not one per occurrence. Every bigram seen
+in training is stored (``LEAST`` = 1), packed by history; counts are packed at 7 bits a byte, of any size.
 
 Weights. For a stored bigram P(w|h) = d(c) c(hw) / c(h), with Good-Turing discounts d for counts up to
 ``TOP``. A history's backoff weight is (1 - sum of these) / (1 - sum of the unigram P of the same words),
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,8 @@ from citelake.llm.store import Scratch, steady_splits
 
 BLOCK = 12  # bits: rows of one input partition that form a block
 RANGE_BYTES = 12 << 20  # text bytes per range of histories
-LEAST = 2  # bigrams seen less often are left to the backoff
+LEAST = 1  # bigrams seen less often are left to the backoff: none
+PART = 1 << 20  # bigrams in one row of the model
 TOP = 5  # counts above are not discounted
 WORD_BYTES = 6  # of a successor's hash that are sent
 SHORT = (1 << 8 * WORD_BYTES) - 1
@@ -42,7 +46,7 @@ START, END = W.mix(np.array([11, 12], W.U))
 
 REQUEST = "bucket long, block long, h binary, run binary, w binary, n binary"
 STATS = [f"{x}{r}" for x in "ub" for r in range(1, TOP + 2)] + ["tokens", "words", "docs"]
-COUNTED = "kind string, bucket long, block long, h binary, ch binary, chw binary, hs array<long>, ws array<long>, cs array<long>, " + ", ".join(f"{s} long" for s in STATS)
+COUNTED = "kind string, bucket long, block long, h binary, at binary, ch binary, chw binary, run binary, w binary, n binary, " + ", ".join(f"{s} long" for s in STATS)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -99,8 +103,8 @@ def requests(rows: DataFrame, bits: int) -> DataFrame:
         for key, i, j in zip(keys.tolist(), first.tolist(), ends.tolist()):
             x, y = b.begin[i], (b.begin[j] if j < len(b.begin) else len(b.h))
             out.append({
-                "bucket": key, "block": block, "h": b.names[i:j].tobytes(), "run": b.run[i:j].astype(np.int32).tobytes(),
-                "w": _short(b.w[x:y]), "n": b.n[x:y].astype(np.int32).tobytes(),
+                "bucket": key, "block": block, "h": b.names[i:j].tobytes(), "run": _pack(b.run[i:j]),
+                "w": _short(b.w[x:y]), "n": _pack(b.n[x:y]),
             })
             if len(out) == 64:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -138,14 +142,59 @@ def _whole(packed: bytes) -> np.ndarray:
     return out.view(W.U).ravel()
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Their number, then the low 7 bits of each with a mark if more follow, then the next 7 of those marked."""
+    c = counts.astype(W.U)
+    out = [np.array([len(c)], np.int64).tobytes()]
+    while len(c):
+        more = c > W.U(127)
+        out.append((c & W.U(127) | more.astype(W.U) << W.U(7)).astype(np.uint8).tobytes())
+        c = c[more] >> W.U(7)
+    return b"".join(out)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n, at, shift = int(np.frombuffer(packed, np.int64, 1)[0]), 8, 0
+    out, of = np.zeros(n, np.int64), np.arange(n)
+    while len(of):
+        part = np.frombuffer(packed, np.uint8, len(of), at).astype(np.int64)
+        out[of] |= (part & 127) << shift
+        at, shift, of = at + len(of), shift + 7, of[part > 127]
+    return out
+
+
+def _join(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _counts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [_unpack(x) for x in column.to_pylist()]
+
+
 def _view(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def count_range(group: pa.Table) -> pa.Table:
-    """One range of histories: model rows, statistics and an answer for each block."""
-    names, runs = _view(group["h"], W.U), _view(group["run"], np.int32)
-    words, counts = [_whole(x) for x in group["w"].to_pylist()], _view(group["n"], np.int32)
+def _places(stored: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Twice the place of each history among the stored ones, and one more if it is there: in rising order."""
+    at = np.searchsorted(stored, own)
+    there = stored[np.minimum(at, len(stored) - 1)] == own if len(stored) else np.zeros(len(own), bool)
+    return 2 * at + there
+
+
+def _by_words(kind: str, words: np.ndarray, bits: int, counts: np.ndarray | None = None) -> Iterator[dict]:
+    """A row for each range of words, given their sorted short hashes."""
+    of = (words >> W.U(8 * WORD_BYTES - bits)).astype(np.int64)
+    keys, first = np.unique(of, return_index=True)
+    for key, i, j in zip(keys.tolist(), first.tolist(), [*first[1:].tolist(), len(of)]):
+        yield {"kind": kind, "block": key, "w": _short(words[i:j])} | ({} if counts is None else {"n": _pack(counts[i:j])})
+
+
+def count_range(group: pa.Table, word_bits: int) -> pa.Table:
+    """One range of histories: model rows, statistics, an answer for each block, and the successors
+    whose unigram counts it wants."""
+    names, runs = _view(group["h"], W.U), [x.astype(np.int32) for x in _counts(group["run"])]
+    words, counts = [_whole(x) for x in group["w"].to_pylist()], [x.astype(np.int32) for x in _counts(group["n"])]
     h = np.concatenate([np.repeat(a, b) for a, b in zip(names, runs)])
     w, n = np.concatenate(words), np.concatenate(counts)
     order = np.lexsort((w, h))
@@ -159,30 +208,35 @@ def count_range(group: pa.Table) -> pa.Table:
     h, w = h[cut], w[cut]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     hist, ch = h[first], np.add.reduceat(total, first)
+    kept = total >= LEAST
+    stored = np.unique(h[kept])
     rows, at = [], 0
     for block, own in zip(group["block"].to_pylist(), names):
         size = int(runs[len(rows)].sum())
         rows.append({
-            "kind": "answer", "block": block, "h": own.tobytes(),
-            "ch": ch[np.searchsorted(hist, own)].astype(np.int32).tobytes(), "chw": back[at : at + size].astype(np.int32).tobytes(),
+            "kind": "answer", "block": block, "at": _pack(np.diff(_places(stored, own), prepend=0)),
+            "ch": _pack(ch[np.searchsorted(hist, own)]), "chw": _pack(back[at : at + size]),
         })
         at += size
-    kept = total >= LEAST
     word = np.where(hist == START, END, hist)  # as many documents end as start
     seen = ch > 0
     stats = {f"u{r}": int((ch[seen] == r).sum()) for r in range(1, TOP + 2)} | {f"b{r}": int((total == r).sum()) for r in range(1, TOP + 2)}
     stats |= {"tokens": int(ch.sum()), "words": int(seen.sum()), "docs": int(ch[hist == START].sum())}
-    signed = lambda x: x.view(np.int64).tolist()
-    rows += [
-        {"kind": "stats", **stats},
-        {"kind": "unigrams", "hs": signed(word[seen]), "cs": ch[seen].tolist()},
-        {"kind": "bigrams", "hs": signed(h[kept]), "ws": signed(w[kept]), "cs": total[kept].tolist()},
-    ]
+    rows.append({"kind": "stats", **stats})
+    own = word[seen] & W.U(SHORT)
+    order = np.argsort(own)
+    rows += _by_words("unigrams", own[order], word_bits, ch[seen][order])
+    h, w, total = h[kept], w[kept], total[kept]
+    rows += _by_words("wanted", np.unique(w), word_bits)
+    for x in range(0, len(h), PART):
+        part = slice(x, x + PART)
+        own, run = np.unique(h[part], return_counts=True)
+        rows.append({"kind": "bigrams", "block": x // PART, "h": own.tobytes(), "run": _pack(run), "w": _short(w[part]), "n": _pack(total[part])})
     bucket = group["bucket"][0].as_py()
     fields = []
     for field in COUNTED.split(", "):
         name, kind = field.split(" ")
-        fields.append((name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]))
+        fields.append((name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kind]))
     return pa.Table.from_pylist([{"bucket": bucket, **r} for r in rows], schema=pa.schema(fields))
 
 
@@ -215,54 +269,54 @@ class Weights:
         """Discounted counts."""
         return np.array([0.0, *self.bi, 1.0])[np.minimum(c, TOP + 1)] * c
 
-    def column(self, c: Column, discounts: list[float]) -> Column:
-        out = c.cast("double")
-        for r, d in enumerate(discounts, 1):
-            out = F.when(c == r, F.lit(d * r)).otherwise(out)
-        return out
-
-
-def unigrams(counted: DataFrame) -> DataFrame:
-    """(w, c): the unigram table."""
-    rows = counted.where("kind = 'unigrams'").select(F.explode(F.arrays_zip("hs", "cs")).alias("x"))
-    return rows.select(F.col("x.hs").alias("w"), F.col("x.cs").alias("c"))
-
-
-def bigrams(counted: DataFrame) -> DataFrame:
-    """(h, w, c): the bigram table, counts of ``LEAST`` and more."""
-    rows = counted.where("kind = 'bigrams'").select(F.explode(F.arrays_zip("hs", "ws", "cs")).alias("x"))
-    return rows.select(F.col("x.hs").alias("h"), F.col("x.ws").alias("w"), F.col("x.cs").alias("c"))
-
-
-def backoff(counted: DataFrame, weights: Weights) -> DataFrame:
-    """(h, mass, low): discounted counts of the stored successors of a history, and their unigram mass."""
-    of = unigrams(counted).select(F.col("w").bitwiseAND(F.lit(SHORT)).alias("w"), F.col("c").alias("cw"))
-    of = of.groupBy("w").agg(F.max("cw").alias("cw"))
-    low = weights.column(F.col("cw"), weights.uni) / F.lit(float(weights.total))
-    pairs = bigrams(counted).join(of, "w")
-    return pairs.groupBy("h").agg(F.sum(weights.column(F.col("c"), weights.bi)).alias("mass"), F.sum(low).alias("low"))
 
-
-def _attach(answers: pa.Table, weights: pa.Table) -> pa.Table:
+def _look_up(wanted: pa.Table, unigrams: pa.Table) -> pa.Table:
+    """One range of words: the unigram counts that each range of histories wants, in the order of its request."""
+    w, c = _join([_whole(x) for x in unigrams["w"].to_pylist()], W.U), _join(_counts(unigrams["n"]))
+    order = np.lexsort((c, w))
+    w, c = w[order], c[order]
+    last = np.append(w[1:] != w[:-1], True)[: len(w)]
+    w, c = w[last], c[last]
+    out = [_pack(c[np.searchsorted(w, _whole(x))]) for x in wanted["w"].to_pylist()]
+    return pa.table({"bucket": wanted["bucket"], "block": wanted["block"], "n": pa.array(out, pa.binary())})
+
+
+def _backoff(model: pa.Table, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """For each stored history the discounted counts of its successors, and the unigram mass of these."""
+    model = model.sort_by("block")
+    is_reply = np.array([x is None for x in model["w"].to_pylist()], bool)
+    pairs, replies = model.filter(pa.array(~is_reply)), model.filter(pa.array(is_reply))
+    h = _join([np.repeat(a, b) for a, b in zip(_view(pairs["h"], W.U), _counts(pairs["run"]))], W.U)
+    w, c, cw = _join([_whole(x) for x in pairs["w"].to_pylist()], W.U), _join(_counts(pairs["n"])), _join(_counts(replies["n"]))
+    names, of = np.unique(w, return_inverse=True)
+    if len(names) != len(cw):
+        raise RuntimeError("unigram counts are missing")
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    if not len(first):
+        return np.zeros(0), np.zeros(0)
+    return np.add.reduceat(weights.bigram(c), first), np.add.reduceat(weights.unigram(cw)[of], first)
+
+
+def _attach(weights: Weights):
     """Backoff weight and denominator of every history that a block asked for."""
-    h = np.asarray(weights["h"]).astype(np.int64).view(W.U)
-    order = np.argsort(h)
-    h, mass, low = h[order], np.asarray(weights["mass"])[order], np.asarray(weights["low"])[order]
-    more, alpha = [], []
-    for own, ch in zip(_view(answers["h"], W.U), _view(answers["ch"], np.int32)):
-        plus, a = np.zeros(len(own), np.int8), np.ones(len(own))
-        if len(h):
-            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            hit = h[at] == own
-            m, u = mass[at[hit]], low[at[hit]]
+
+    def run(answers: pa.Table, model: pa.Table) -> pa.Table:
+        mass, low = _backoff(model, weights)
+        more, alpha = [], []
+        for at, ch in zip(_counts(answers["at"]), _counts(answers["ch"])):
+            place = np.cumsum(at)
+            hit = place % 2 == 1
+            plus, a = np.zeros(len(ch), np.int8), np.ones(len(ch))
+            m, u = mass[place[hit] // 2], low[place[hit] // 2]
             plus[hit] = m >= ch[hit] - 1e-9
             a[hit] = (1 - m / (ch[hit] + plus[hit])) / (1 - u)
-        more.append(plus.tobytes())
-        alpha.append(a.tobytes())
-    return pa.table({
-        "block": answers["block"], "bucket": answers["bucket"], "ch": answers["ch"], "chw": answers["chw"],
-        "more": pa.array(more, pa.binary()), "alpha": pa.array(alpha, pa.binary()),
-    })
+            more.append(plus.tobytes())
+            alpha.append(a.tobytes())
+        return pa.table({
+            "bucket": answers["bucket"], "block": answers["block"], "more": pa.array(more, pa.binary()), "alpha": pa.array(alpha, pa.binary()),
+        })
+
+    return run
 
 
 def _evaluate(weights: Weights):
@@ -270,13 +324,12 @@ def _evaluate(weights: Weights):
         docs = docs.sort_by("id")
         held = np.asarray(docs["held_out"].to_numpy(), bool)
         b = Block(docs["text"].chunks, ~held)
-        order = np.argsort(np.asarray(answers["bucket"]))
-        answers = answers.take(pa.array(order))
-        ch, more, alpha, chw = (
-            np.concatenate(_view(answers[c], k)) for c, k in (("ch", np.int32), ("more", np.int8), ("alpha", np.float64), ("chw", np.int32))
-        )
-        ch, den = ch.astype(np.int64), ch.astype(np.int64) + more
-        if len(ch) != len(b.names) or len(chw) != len(b.h):
+        answers = answers.sort_by("bucket")
+        counts, backs = (answers.filter(pc.is_valid(answers[c])) for c in ("ch", "alpha"))
+        ch, chw = _join(_counts(counts["ch"])), _join(_counts(counts["chw"]))
+        more, alpha = _join(_view(backs["more"], np.int8)), _join(_view(backs["alpha"], np.float64))
+        den = ch + more
+        if not len(ch) == len(alpha) == len(b.names) or len(chw) != len(b.h):
             raise RuntimeError("a block changed between two reads of the documents")
         of_h = np.repeat(np.arange(len(b.names)), b.run)
         at = np.minimum(np.searchsorted(b.names, b.w), len(b.names) - 1)
@@ -303,14 +356,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     steady_splits(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // RANGE_BYTES).bit_length())
+    word_bits = max(4, bits - 4)
     rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("id"))
     rows = rows.withColumn("block", F.shiftright("id", BLOCK))
-    counted = scratch.put(requests(rows, bits).groupBy("bucket").applyInArrow(count_range, COUNTED), by=["kind"])
+    counted = scratch.put(requests(rows, bits).groupBy("bucket").applyInArrow(lambda group: count_range(group, word_bits), COUNTED), by=["kind"])
     stats = counted.where("kind = 'stats'").agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS)).first().asDict()
     weights = Weights(stats)
-    low = backoff(counted, weights).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
-    answers = counted.where("kind = 'answer'").select("bucket", "block", "h", "ch", "chw")
-    full = answers.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(
-        _attach, "block long, bucket long, ch binary, chw binary, more binary, alpha binary"
+    # Aliases: the two sides of a cogroup may not have columns in common.
+    part = lambda kind, *columns: counted.where(F.col("kind") == kind).select(*(F.col(c).alias(c) for c in columns))
+    wanted, words = part("wanted", "bucket", "block", "w"), part("unigrams", "block", "w", "n")
+    replies = wanted.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_look_up, "bucket long, block long, n binary")
+    model = part("bigrams", "bucket", "block", "h", "run", "w", "n").unionByName(replies, allowMissingColumns=True)
+    answers = part("answer", "bucket", "block", "at", "ch")
+    backs = answers.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(
+        _attach(weights), "bucket long, block long, more binary, alpha binary"
     )
+    full = part("answer", "bucket", "block", "ch", "chw").unionByName(backs, allowMissingColumns=True)
     return rows.groupBy("block").cogroup(full.groupBy("block")).applyInArrow(_evaluate(weights), SCORES)

@@ -286,6 +286,33 @@ def test_language_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_language_model_keeps_bigrams_seen_once(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    a, b = [i for i in range(40) if held(i)][:2]
+    once = "one time only these nine words stand in a row".split()
+    rows = [(i, f"w{i} x{i} y{i} w{i} common words") for i in range(40) if not held(i)] + [(50, " ".join(once))]
+    d = spark.createDataFrame([*rows, (a, " ".join(once)), (b, " ".join(once[::-1]))], "doc_id long, text string")
+    assert not held(50)
+    got = {r.doc_id: r.score for r in lm.score_documents(d).collect()}
+    assert got[a] > got[b] + 1  # the same words; only pairs seen once tell the two apart
+
+
+def test_language_model_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    b, one = lm.Block([pa.array(["a b"])], np.array([True])), 2**31 - 1
+    h, w = b.names, b.w[np.repeat(np.arange(len(b.names)), b.run)]
+    group = pa.table({
+        "bucket": [0, 0, 0], "block": [0, 1, 2], "h": [h.tobytes()] * 3, "run": [lm._pack(b.run)] * 3,
+        "w": [lm._short(w)] * 3, "n": [lm._pack(np.full(len(w), one))] * 3,
+    })
+    for r in lm.count_range(group, 4).to_pylist():
+        if r["kind"] == "answer":
+            assert lm._unpack(r["ch"]).tolist() == lm._unpack(r["chw"]).tolist() == [3 * one] * 3
+    many = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**40, 2**62])
+    assert (lm._unpack(lm._pack(many)) == many).all() and not len(lm._unpack(lm._pack(many[:0])))
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa."), (2, None), (3, ""), (4, "lone"), (5, "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa.")]
     q = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, source string")
