@@ -3,9 +3,11 @@
 A byte-level BPE never merges across pre-tokens, so the count of a prefix is the count at the start of
 its last pre-token plus the count of a part of one pre-token. ``PrefixTable`` stores the exact count at
 every pre-token end of a text (running sums, one pass); ``count`` and ``cut`` answer any prefix and any
-budget from it and from the dynamic program of one pre-token: the encoding of a string is the encoding of
-the string without its last token, plus that token, and each possible last token is checked against its
-neighbour. The text itself is never encoded again.
+budget from it and from the dynamic program of one pre-token, over vocabulary entries and merge ranks: the
+encoding of a string is the encoding of the string without its last token, plus that token, and each
+possible last token is checked against its neighbour. The text itself is never encoded again; only a
+contraction or special string is, with the pre-token before it. ``cut`` ends anywhere, also inside a
+pre-token: at the largest prefix that has at most so many tokens by itself.
 
 Pre-tokens are cut for whole runs of texts with numpy; each distinct pre-token is encoded once per task
 (the store is emptied when it holds ``STORE`` entries, which costs time, not results).
@@ -16,7 +18,9 @@ special string ``<|endoftext|>`` inside a text is one token, as the library has
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from citelake.llm import words as W
 
 SPECIAL = "<|endoftext|>"
+ODD = {SPECIAL, "'s", "'t", "'m", "'d", "'re", "'ve", "'ll"}
 LIMIT = 512
 STORE = 1 << 20
 
@@ -61,6 +66,36 @@ class Coder:
         self.library.no_padding()
         self.kinds = _kinds()
         self.seen: dict[int, int] = {}
+        self.path = path
+        self.merged: dict[tuple[str, str], bool] = {}
+
+    @cached_property
+    def merges(self) -> tuple[set[str], dict[tuple[str, str], int], list[int]]:
+        """Tokens as strings of one character per byte, merge ranks, and the tokens' lengths, longest first."""
+        with open(self.path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        back = str.maketrans({chr(b): chr(b) for b in plain} | {chr(256 + i): chr(b) for i, b in enumerate(others)})
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        ranks = {(a.translate(back), b.translate(back)): rank for rank, (a, b) in enumerate(pairs)}
+        vocabulary = {a + b for a, b in ranks} | {chr(b) for b in range(256)}
+        return vocabulary, ranks, sorted({len(t) for t in vocabulary}, reverse=True)
+
+    def stays(self, left: str, token: str) -> bool:
+        """Whether ``left`` and ``token`` side by side are encoded as these two (``token`` alone without ``left``)."""
+        key = left, token
+        if key not in self.merged:
+            ranks, parts = self.merges[1], list(left + token)
+            while len(parts) > 1:
+                rank, i = min((ranks.get((parts[i], parts[i + 1]), len(ranks)), i) for i in range(len(parts) - 1))
+                if rank == len(ranks):
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(self.merged) > STORE:
+                self.merged.clear()
+            self.merged[key] = parts == ([left, token] if left else [token])
+        return self.merged[key]
 
     def starts(self, points: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where pre-tokens of a run of texts begin; ``rows`` are the bounds of the texts."""
@@ -136,24 +171,22 @@ class Coder:
             for i in range(len(texts))
         ]
 
-    def inner(self, pretoken: str) -> np.ndarray:
-        """Token count of every prefix of one pre-token, by dynamic programming over its last token."""
-        model = self.library
-        out, back = np.zeros(len(pretoken) + 1, np.int64), [0] * (len(pretoken) + 1)
-        pair = lambda s: [e for _, e in model.encode(s, add_special_tokens=False).offsets]
-        for j in range(1, len(pretoken) + 1):
-            for i in range(j):  # the longest last token first; the true one stands next to its neighbour
-                token = pretoken[i:j]
-                if len(model.encode(token, add_special_tokens=False)) != 1:
-                    continue
-                left = pretoken[back[i] : i]
-                if not left or pair(left + token) == [len(left), len(left) + len(token)]:
-                    out[j], back[j] = out[i] + 1, i
+    def inner(self, pretoken: str, most: int | None = None) -> np.ndarray:
+        """Token count of every prefix of one pre-token, by dynamic programming over its last token; with
+        ``most``, at least up to the last prefix that has so many."""
+        vocabulary, _, lengths = self.merges
+        body = pretoken.encode().decode("latin-1")
+        out, last, end = [0] * (len(body) + 1), [""] * (len(body) + 1), len(body)
+        for j in range(1, len(body) + 1):
+            for n in lengths:  # the true last token stands next to its neighbour
+                token = body[j - n : j] if n <= j else ""
+                if token in vocabulary and self.stays(last[j - n], token):
+                    out[j], last[j] = out[j - n] + 1, token
                     break
-            else:  # characters that are several tokens: take the prefix as the library has it
-                out[j] = len(model.encode(pretoken[:j], add_special_tokens=False))
-                back[j] = 0
-        return out
+            if most is not None and j % lengths[0] == 0 and min(out[j - lengths[0] + 1 : j + 1]) >= most:
+                end = j
+                break
+        return np.array([c for c, b in zip(out[:end], body) if not 128 <= ord(b) < 192] + [out[end]] * (end == len(body)), np.int64)
 
 
 class PrefixTable:
@@ -166,22 +199,26 @@ class PrefixTable:
     def total(self) -> int:
         return int(self.totals[-1]) if len(self.totals) else 0
 
-    def _inside(self, k: int) -> tuple[int, np.ndarray]:
-        """Start and inner counts of the stretch that ends in pre-token ``k``.
+    def _inside(self, k: int, budget: int | None = None) -> tuple[int, np.ndarray]:
+        """Start of pre-token ``k`` and the counts of the prefixes that end in it, as far as ``budget`` goes.
 
-        A prefix that ends in white space, or inside a contraction or special string, pre-tokenises
-        otherwise at its end; the stretch then begins one pre-token earlier and is encoded piece by piece.
+        A prefix that ends inside a contraction or special string pre-tokenises otherwise at its end; it is
+        encoded with the pre-token before. White space at the end of a prefix joins white space before it.
         """
-        start = int(self.ends[k - 1]) if k else 0
+        start, before = (int(self.ends[k - 1]), int(self.totals[k - 1])) if k else (0, 0)
+        first, earlier = (int(self.ends[k - 2]), int(self.totals[k - 2])) if k > 1 else (0, 0)
         body = self.text[start : int(self.ends[k])]
-        if body[0] in "<'" or self.coder.kinds[ord(body[0])] == SPACE:
-            first = int(self.ends[k - 2]) if k > 1 else 0
-            whole = self.text[first : int(self.ends[k])]
-            before = int(self.totals[k - 2]) if k > 1 else 0
-            model = self.coder.library
-            inner = [before + len(model.encode(whole[: start - first + j], add_special_tokens=False)) for j in range(len(body) + 1)]
-            return start, np.array(inner)
-        return start, (int(self.totals[k - 1]) if k else 0) + self.coder.inner(body)
+        if body in ODD:
+            model, whole = self.coder.library, self.text[first : int(self.ends[k])]
+            return start, np.array(
+                [earlier + len(model.encode(whole[: start - first + j], add_special_tokens=False)) for j in range(len(body) + 1)]
+            )
+        counts = before + self.coder.inner(body, None if budget is None else budget - before)
+        space = lambda c: self.coder.kinds[ord(c)] == SPACE
+        if k and space(body[0]) and space(self.text[start - 1]):
+            joined = earlier + self.coder.inner(self.text[first : start + 1])[-1]
+            counts = np.array([counts[0], joined, *counts[2:].tolist()])
+        return start, counts
 
     def count(self, chars: int) -> int:
         """Tokens of the first ``chars`` code points."""
@@ -194,9 +231,18 @@ class PrefixTable:
         return int(inner[min(chars, len(self.text)) - start])
 
     def cut(self, budget: int) -> int:
-        """The most code points that the first ``budget`` tokens can hold, ending between pre-tokens."""
-        k = int(np.searchsorted(self.totals, budget, "right"))
-        return int(self.ends[k - 1]) if k else 0
+        """The most code points that have at most ``budget`` tokens by themselves."""
+        if self.total <= budget:
+            return len(self.text)
+        # Prefixes in the pre-token behind the one that exceeds the budget may still have fewer tokens.
+        k = min(int(np.searchsorted(self.totals, budget, "right")) + 1, len(self.ends) - 1)
+        while k >= 0 and budget > 0:
+            start, counts = self._inside(k, budget)
+            fits = np.flatnonzero(counts[1:] <= budget)
+            if len(fits):
+                return start + int(fits[-1]) + 1
+            k -= 1
+        return 0
 
 
 def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

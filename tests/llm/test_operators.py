@@ -207,6 +207,24 @@ def test_token_prefixes():
             assert len(coder.library.encode(t.text[: t.cut(budget)], add_special_tokens=False)) <= budget or budget >= t.total
 
 
+def test_token_cut_ends_inside_pretokens():
+    coder = tokens.Coder(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    size = lambda t: len(coder.library.encode(t, add_special_tokens=False))
+    letters = "".join(rng.choices("etaoinshrdlu", k=400))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300))
+    bits = ["'s", "'re", " ", "  ", "\n", "word", "international", "é", "2024", "!!", "<|endoftext|>", "日本語", "😀"]
+    samples = [letters, han, "a" * 700, " " * 300 + "b", "'" * 300, "x" + " \n" * 50 + " y", *("".join(rng.choices(bits, k=12)) for _ in range(60))]
+    for t in coder.tables(samples):
+        sizes = [size(t.text[:i]) for i in range(len(t.text) + 1)]
+        assert [t.count(i) for i in range(len(t.text) + 1)] == sizes
+        for budget in (0, 1, 2, 3, 5, 7, 12, 40, 100):
+            assert t.cut(budget) == max(i for i, n in enumerate(sizes) if n <= budget), (t.text, budget)
+    long = han * 40
+    cut = coder.tables([long])[0].cut(512)
+    assert size(long[:cut]) <= 512 < size(long[: cut + 1])
+
+
 def test_token_counts(docs, none):
     path = vocabulary("byte_bpe_50k.json")
     library = tokens.Coder(path).library
