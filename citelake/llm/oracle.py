@@ -3,3 +3,43 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+#: CRC-32 of the UTF-8 bytes of a string, by a table made from the polynomial.
+CRC = """
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce(
+    list_concat([i], range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+codes AS (SELECT s, xor(list_reduce(
+    list_concat([4294967295], list_transform(range(0, octet_length(encode(s))), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS BIGINT))),
+    lambda x, b: xor(t[CAST(xor(x, b) % 256 AS BIGINT) + 1], x // 256)), 4294967295) AS h FROM hashed, bits)
+"""
+
+ORACLE["op13_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+    translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS MATERIALIZED (SELECT d || ':' || run AS s, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT s FROM counted),
+{CRC},
+spelled AS (SELECT c, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+  FROM counted JOIN codes USING (s)),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT DISTINCT word, n, word[:i - 1] || word[i + 1:] AS less FROM places),
+holed AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM places),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM shorter a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.less = b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM holed a JOIN holed b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+named AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+    CASE WHEN b.m >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.m) END AS form,
+    CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS at FROM named
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN named f ON walk.at = f.word WHERE f.form IS NOT NULL)
+SELECT n.word, n.n, n.n_near, n.form, n.form_n, w.at AS root
+FROM named n JOIN walk w USING (word) JOIN named e ON e.word = w.at WHERE e.form IS NULL
+"""

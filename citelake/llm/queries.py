@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm import chat, contamination, jaccard, lm, mixing, quality, secrets, sharding, tokens, toxicity
+from citelake.llm import chat, contamination, jaccard, lm, mixing, quality, secrets, sharding, spelling, tokens, toxicity
 from citelake.llm.store import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op3_toxicity(spark, d):
 @query
 def op9_lm_scoring(spark, d):
     return lm.score_documents(table(spark, d, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents"))
