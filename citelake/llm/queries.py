@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm import chat, contamination, jaccard, lm, mixing, quality, secrets, sharding, spelling, tokens, toxicity
+from citelake.llm import chat, contamination, jaccard, lexical, lm, mixing, quality, secrets, sharding, spelling, tokens, toxicity
 from citelake.llm.store import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,8 @@ def op9_lm_scoring(spark, d):
 @query
 def op13_spelling_variants(spark, d):
     return spelling.spelling_variants(table(spark, d, "documents"))
+
+
+@query
+def op11_ranked_search(spark, d):
+    return lexical.rank_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
