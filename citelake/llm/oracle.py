@@ -64,3 +64,19 @@ ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY i
   FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+ORACLE["op12_substring_dedup"] = r"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)),
+least AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM windows JOIN least USING (k) WHERE doc_id > m),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT s.doc_id, len(s.w) AS n_words, coalesce(l.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM split s LEFT JOIN lost l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm import chat, contamination, jaccard, lexical, lm, mixing, quality, secrets, sharding, spelling, tokens, toxicity
+from citelake.llm import chat, contamination, jaccard, lexical, lm, mixing, quality, repeats, secrets, sharding, spelling, tokens, toxicity
 from citelake.llm.store import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,8 @@ def op13_spelling_variants(spark, d):
 @query
 def op11_ranked_search(spark, d):
     return lexical.rank_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op12_substring_dedup(spark, d):
+    return repeats.repeat_digests(table(spark, d, "documents"))
