@@ -5,7 +5,9 @@ shingles found often in a bounded sample last, the others by hash. The sample st
 never the result. For similarity ``t`` the first ``n - ceil(t n) + l`` shingles of two linked sets
 share at least ``l``; each class lengthens its prefix (``l`` up to ``LONGEST``) as the measured
 frequency of the added shingles makes lookups plus expected verifications cheapest, and a pair is
-verified only if its prefixes share the smaller ``l`` of the two.
+verified only if its prefixes share the smaller ``l`` of the two. Before prefixes are compared, a pair must
+pass a bound from about one bit a shingle: bits that flip with every shingle of a cell, so that the bits in which
+two classes differ are at most the shingles in which they do.
 
 Groups of near copies are not paired out. First every prefix shingle compares its members with one
 member alone (the one with the fewest rarer shingles); verified links give components. Then only
@@ -38,6 +40,7 @@ OFTEN = 3  # counts in the sample from which a shingle is ordered by frequency
 FREQUENT = 1 << 16  # such shingles at most; those beyond are ordered by hash
 LONGEST = 4  # largest multi-match requirement l
 VERIFY = 8.0  # cost of verifying one candidate in lookups
+PARITY = 8  # 64-bit words of parity bits of a small class
 
 
 @dataclass(frozen=True)
@@ -85,6 +88,18 @@ def _digest(values: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _parity(values: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Per row, bits that tell whether the shingles of a cell are odd in number; as many cells as shingles, in
+    steps of four times."""
+    words = np.full(len(n), PARITY)
+    while (few := n > 64 * words).any():
+        words[few] *= 4
+    offsets = np.concatenate(([0], np.cumsum(words)))
+    cell = (W.mix(values ^ W.U(0xA24BAED4963EE407)) % (64 * words[doc]).astype(W.U)).astype(np.int64)
+    odd = (np.bincount(64 * offsets[doc] + cell, minlength=64 * int(offsets[-1])) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of about ``SAMPLE`` documents and their counts, sorted by hash."""
     total = docs.count()
@@ -103,7 +118,7 @@ def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(docs: DataFrame, join: Join, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, set size ``n``, class ``k`` and the longest ``prefix`` in global order."""
+    """doc_id, set size ``n``, class ``k``, its parity bits and the longest ``prefix`` in global order."""
     often, counts = order
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +128,7 @@ def signatures(docs: DataFrame, join: Join, order: tuple[np.ndarray, np.ndarray]
                 values, doc = _sets(texts, join)
                 n = np.bincount(doc, minlength=rows)
                 k = _digest(values, doc, rows)
+                parity = _parity(values, doc, n)
                 rank = np.zeros(len(values), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, values), len(often) - 1)
@@ -130,16 +146,18 @@ def signatures(docs: DataFrame, join: Join, order: tuple[np.ndarray, np.ndarray]
                         batch.column(1).slice(texts.first, rows),
                         pa.array(n.astype(np.int32)),
                         pa.array(k),
+                        parity,
                         W.lists(values[keep].view(np.int64), doc[keep], rows, pa.int64()),
                     ],
-                    ["doc_id", "n", "k", "prefix"],
+                    ["doc_id", "n", "k", "parity", "prefix"],
                 )
 
-    return docs.select("text", "doc_id").mapInArrow(sign, "doc_id long, n int, k long, prefix array<long>")
+    return docs.select("text", "doc_id").mapInArrow(sign, "doc_id long, n int, k long, parity array<long>, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(k, tokens): the sets of the classes ``wanted`` (doc_id, k), made anew from their texts."""
+    """(k, tokens): the sets of the classes ``wanted`` (doc_id, k), made anew from their texts; repeated rows
+    of a class give its set repeatedly."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +171,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k[same]), tokens.take(pa.array(same))], ["k", "tokens"])
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "k")
-    return rows.mapInArrow(build, "k long, tokens array<long>").dropDuplicates(["k"])
+    return rows.mapInArrow(build, "k long, tokens array<long>")
 
 
 def choose_lengths(postings: DataFrame, join: Join) -> DataFrame:
@@ -183,6 +201,16 @@ def _near(a: str, b: str, join: Join) -> Column:
     return (join.least(F.greatest(n, m)) <= F.least(n, m)) & (left >= join.both(n, m)) & first
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) whose parity bits differ in no more places than linked sets may differ in shingles;
+    classes with different numbers of cells all pass."""
+    left, right = (classes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in "ab")
+    flips = F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.when(F.size("p_a") == F.size("p_b"), F.aggregate(flips, F.lit(0), lambda s, x: s + x)).otherwise(0)
+    n, m = F.col("n_a"), F.col("n_b")
+    return pairs.join(left, "a").join(right, "b").where(differ <= n + m - 2 * join.both(n, m)).select("a", "b")
+
+
 def multi_match(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose own prefixes share at least the smaller requirement."""
     left = prefixes.select(F.col("k").alias("a"), F.col("own").alias("own_a"), F.col("l").alias("l_a"))
@@ -191,11 +219,11 @@ def multi_match(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(shared >= F.least("l_a", "l_b")).select("a", "b")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Pairs that are linked, by whole sets."""
-    left = sets.select(F.col("k").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("k").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
+def verify(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) that are linked, by whole sets; ``pivots`` are the distinct ``b``."""
+    left = sets.withColumnRenamed("k", "a").join(pairs, "a").select("a", "b", F.col("tokens").alias("x"))
+    right = sets.withColumnRenamed("k", "b").join(pivots, "b").select("b", F.col("tokens").alias("y"))
+    both = left.join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
     return both.where(F.col("c") * 100 >= join.percent * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b")
 
 
@@ -229,14 +257,25 @@ def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
         "s", "k", "n", "i", F.lag("s").over(Window.partitionBy("k").orderBy("i")).alias("before")  # bounded by a prefix
     ))
 
+    sketches = reps.select("k", "n", "parity")
+    again = scratch.put(signed.where("n > 0").groupBy("doc_id", "k").count().where("count > 1").select("k").distinct())
+    repeated = not again.isEmpty()
+
     def linked(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among candidates: shared prefixes first, then whole sets made from the texts."""
-        pairs = scratch.put(multi_match(pairs, prefixes))
-        met = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        """Links (a, b) among candidates: parity bits, shared prefixes, then whole sets made from the texts."""
+        pairs = scratch.put(plausible(pairs, sketches, join))
+        met = scratch.put(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
+        close = scratch.put(multi_match(pairs, prefixes.join(modest(met), "k", "left_semi")))
+        met = close.select(F.col("a").alias("k")).union(close.select(F.col("b").alias("k"))).distinct()
         wanted = scratch.put(met.join(classes, "k").select(F.col("rep").alias("doc_id"), "k"))
-        sets = scratch.put(whole_sets(docs, modest(wanted), join))
-        links = scratch.put(verify(pairs, sets, join))
-        scratch.drop(sets, wanted, pairs)
+        sets = whole_sets(docs, modest(wanted), join)
+        if repeated:  # the set of a class once
+            once = sets.join(modest(again), "k", "left_semi").dropDuplicates(["k"])
+            sets = sets.join(modest(again), "k", "left_anti").union(once)
+        sets = scratch.put(sets)
+        ends = scratch.put(close.select("b").distinct())
+        links = scratch.put(verify(modest(close), sets, modest(ends), join))
+        scratch.drop(sets, ends, wanted, close, pairs)
         return links
 
     pivots = scratch.put(postings.groupBy("s").agg(F.min(F.struct("i", "k", "n", "before")).alias("p")).select("s", "p.*"))
