@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions.legal import canonical_key, normalize_article
 from citelake.functions.text import fold_accents, normal_text, none_if_empty, squeeze
+from citelake.operators.groups import connected
 from citelake.session import cut_lineage
 
 
@@ -142,19 +143,56 @@ def attribute_agent(mentions: DataFrame) -> DataFrame:
     )
 
 
+#: Words shorter than this, and words with digits, are compared exactly.
+TYPED = 4
+
+
+def name_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between fingerprints that differ by one letter more, less or other in one word.
+
+    Words are indexed by what is left of them: a word with a hole at a place meets the words with the same
+    hole there, which are all one letter from each other, and a word that lost a letter meets the word that is
+    so spelled. Each key has the hash of the other words, so no candidate needs a check, and each member of a
+    key is linked to one member alone: no pairs are built.
+    """
+    split = prints.select("fingerprint", F.split("fingerprint", " ").alias("w"))
+    every = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.xxhash64(x)))
+    word = split.withColumn("every", every).select("fingerprint", "every", F.explode("w").alias("word"))
+    word = word.where(F.col("word").rlike(f"^[a-z]{{{TYPED},}}$")).withColumn("rest", F.col("every").bitwiseXOR(F.xxhash64("word")))
+    place = F.sequence(F.lit(1), F.length("word"))
+
+    def without(i: Column, mark: str) -> Column:
+        return F.concat(F.substring("word", F.lit(1), i - 1), F.lit(mark), F.substring("word", i + 1, F.length("word")))
+
+    def key(text: Column, whole: bool) -> Column:
+        return F.struct(F.xxhash64("rest", text).alias("key"), F.lit(whole).alias("whole"))
+
+    holes = F.transform(place, lambda i: key(without(i, "*"), True))
+    short = F.transform(place, lambda i: key(without(i, ""), False))
+    keys = F.concat(F.array(key(F.col("word"), True)), holes, F.when(F.length("word") > TYPED, short).otherwise(F.array().cast("array<struct<key:bigint,whole:boolean>>")))
+    rows = word.select("fingerprint", F.explode(F.array_distinct(keys)).alias("k")).select("fingerprint", "k.*")
+    hub = rows.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("fingerprint"))).alias("hub"), F.count(F.lit(1)).alias("n"))
+    hub = hub.where((F.col("n") > 1) & F.col("hub").isNotNull()).select("key", "hub")
+    return rows.join(hub, "key").where(F.col("hub") != F.col("fingerprint")).select(F.col("fingerprint").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def near_names(names: DataFrame, column: str) -> DataFrame:
-    """Groups of law names that differ only in case, accents, punctuation, small words and word order.
+    """Groups of law names that mean the same: apart from case, accents, punctuation, small words and word
+    order, they are equal or lead to each other by single typing errors.
 
-    Each name gets a fingerprint and groups are formed by it: no pairs are built.
+    Each name gets a fingerprint; distinct fingerprints are linked (``name_links``) and the groups are their
+    connected components. Numbers and short words must agree. The group's name is its most frequent spelling.
     """
     small = ["de", "del", "la", "las", "el", "los", "y", "of", "the"]
     plain = F.regexp_replace(fold_accents(F.lower(column)), r"[^a-z0-9/ ]+", " ")
     words = F.filter(F.split(F.trim(plain), r"\s+"), lambda w: ~w.isin(small) & (w != ""))
     marked = names.withColumn("fingerprint", F.array_join(F.array_sort(F.array_distinct(words)), " "))
+    spelled = cut_lineage(marked.groupBy("fingerprint", column).agg(F.count(F.lit(1)).alias("n")))
+    roots = connected(name_links(spelled.select("fingerprint").distinct()))
+    group = F.coalesce("root", "fingerprint")
     return (
-        marked.groupBy("fingerprint", column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("fingerprint")
+        spelled.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+        .groupBy(group.alias("fingerprint"))
         .agg(
             F.count(F.lit(1)).alias("spellings"),
             F.sum("n").alias("mentions"),

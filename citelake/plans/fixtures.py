@@ -352,9 +352,14 @@ MODEL_CALLS = {
     "ms": "value",
     "failed": "event_type = 'error'",
 }
+_TYPED_NAME = (
+    "(CASE WHEN p_partkey % 5 = 0 THEN substr(p_name, 1, 2) || substr(p_name, 4)"
+    " WHEN p_partkey % 7 = 3 THEN substr(p_name, 1, length(p_name) - 1) || 'x'"
+    " WHEN p_partkey % 11 = 4 THEN p_name || 's' ELSE p_name END)"
+)
 NAME_SPELLINGS = {
-    "law_name": "CASE p_size % 3 WHEN 0 THEN 'Ley de la ' || p_name WHEN 1 THEN upper('ley ' || p_name) || '.'"
-    " ELSE substr(p_name, instr(p_name, ' ') + 1) || ' ' || substr(p_name, 1, instr(p_name, ' ') - 1) || ', Léy' END",
+    "law_name": f"CASE p_size % 3 WHEN 0 THEN 'Ley de la ' || {_TYPED_NAME} WHEN 1 THEN upper('ley ' || {_TYPED_NAME}) || '.'"
+    f" ELSE substr({_TYPED_NAME}, instr({_TYPED_NAME}, ' ') + 1) || ' ' || substr({_TYPED_NAME}, 1, instr({_TYPED_NAME}, ' ') - 1) || ', Léy' END",
 }
 ALIAS_EDGES = {
     "ce": "constitución española",

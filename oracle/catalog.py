@@ -325,9 +325,16 @@ ORACLE["dedupe_semantic"] = _docs(
 ORACLE["near_dup_names"] = ctes(names=fx.sql("part", fx.NAME_SPELLINGS), marked=(
     "SELECT law_name, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(strip_accents(lower(law_name)), '[^a-z0-9/ ]+', ' ', 'g')), '\\s+'),"
     " lambda w: w <> '' AND w NOT IN ('de', 'del', 'la', 'las', 'el', 'los', 'y', 'of', 'the')))), ' ') AS fingerprint FROM names"
-)) + (
-    "SELECT fingerprint, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS mentions, first(law_name ORDER BY n DESC, law_name) AS name FROM"
-    " (SELECT fingerprint, law_name, count(*) AS n FROM marked GROUP BY 1, 2) GROUP BY fingerprint"
+), prints="SELECT DISTINCT fingerprint AS f, string_split(fingerprint, ' ') AS w FROM marked", words=(
+    "SELECT f, x, array_to_string(list_filter(w, lambda y: y <> x), ' ') AS rest FROM (SELECT f, w, unnest(w) AS x FROM prints)"
+), links=(
+    "SELECT a.f AS f, b.f AS g FROM words a JOIN words b ON a.rest = b.rest AND a.x <> b.x AND abs(length(a.x) - length(b.x)) <= 1 AND levenshtein(a.x, b.x) = 1"
+    " AND regexp_full_match(a.x, '[a-z]{4,}') AND regexp_full_match(b.x, '[a-z]{4,}')"
+), reach="SELECT f, f AS g FROM prints UNION SELECT r.f, l.g FROM reach r JOIN links l ON r.g = l.f", roots=(
+    "SELECT f, min(g) AS fingerprint FROM reach GROUP BY f"
+)).replace("WITH ", "WITH RECURSIVE ", 1) + (
+    "SELECT r.fingerprint, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS mentions, first(law_name ORDER BY n DESC, law_name) AS name FROM"
+    " (SELECT fingerprint, law_name, count(*) AS n FROM marked GROUP BY 1, 2) m JOIN roots r ON m.fingerprint = r.f GROUP BY r.fingerprint"
 )
 ORACLE["converge_mentions"] = _docs(
     "SELECT doc_id, key, CAST(min(round) AS INTEGER) AS round FROM (SELECT * FROM base UNION ALL SELECT doc_id, v, 4 FROM base JOIN edges ON key = k"
