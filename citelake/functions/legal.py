@@ -91,24 +91,37 @@ def law_in_text(text: Column) -> Column:
     return F.coalesce(*[first_group(text, FOLD + p, 0) for p in LAW_IN_TEXT])
 
 
+#: Types of numbered norms, the most specific first, and how they are written.
+NUMBERED = [
+    ("Real Decreto-ley", r"Real\s+Decreto[\s-]+Ley\s+"),
+    ("Real Decreto Legislativo", r"Real\s+Decreto\s+Legislativo\s+"),
+    ("Ley Orgánica", r"Ley\s+Orgánica\s+"),
+    ("Ley", r"Ley\s+"),
+    ("Real Decreto", r"Real\s+Decreto\s+"),
+    ("Real Decreto", r"RD\s+"),
+]
+
+
+def _typed(ref: Column, number: str, types: list[tuple[str, str]]) -> list[Column]:
+    return [
+        F.when(ref.rlike(FOLD + p + number), dims.number_key(F.lit(kind), F.regexp_extract(ref, FOLD + p + number, 1)))
+        for kind, p in types
+    ]
+
+
 def numbered_key(ref: Column) -> Column:
     """Registry key of the numbered norm a reference holds, the most specific type first."""
-    return F.coalesce(
-        *[
-            F.when(
-                ref.rlike(FOLD + p),
-                dims.number_key(F.lit(kind), F.regexp_extract(ref, FOLD + p, 1)),
-            )
-            for kind, p in [
-                ("Real Decreto-ley", r"Real\s+Decreto[\s-]+Ley\s+(\d+/\d{4})"),
-                ("Real Decreto Legislativo", r"Real\s+Decreto\s+Legislativo\s+(\d+/\d{4})"),
-                ("Ley Orgánica", r"Ley\s+Orgánica\s+(\d+/\d{4})"),
-                ("Ley", r"Ley\s+(\d+/\d{4})"),
-                ("Real Decreto", r"Real\s+Decreto\s+(\d+/\d{4})"),
-                ("Real Decreto", r"RD\s+(\d+/\d{4})"),
-            ]
-        ]
-    )
+    return F.coalesce(*_typed(ref, r"(\d+/\d{4})", NUMBERED))
+
+
+def number_without_year(ref: Column) -> Column:
+    """Type and number of the norm a reference holds, whether or not a year follows."""
+    return F.coalesce(*_typed(ref, r"(\d+)", NUMBERED))
+
+
+def plain_numbers(ref: Column) -> list[Column]:
+    """Registry keys of the first law, decree and abbreviated decree anywhere in a reference."""
+    return _typed(ref, r"(\d+/\d{4})", NUMBERED[3:])
 
 
 def clean_reference(ref: Column) -> Column:

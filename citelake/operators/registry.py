@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelake import dims
@@ -67,6 +67,62 @@ def registry_year_range(refs: DataFrame, registry: DataFrame, years: int = 30) -
     )
 
 
+def registry_index(spark: SparkSession, registry: DataFrame) -> DataFrame:
+    """The dictionary and ``registry(law_type, number, year, boe_id)`` as one table (key, boe_id, years).
+
+    ``n:`` keys are names, ``k:`` keys a type with number and year, ``y:`` keys a type and number with all its
+    years, at most one entry per calendar year. The dictionary goes before the table.
+    """
+    fixed = dims.registry_table(spark)
+    no_years = F.lit(None).cast("array<struct<year:int,boe_id:string>>").alias("years")
+    typed = dims.number_key(F.col("law_type"), F.col("number").cast("string"))
+    yearly = registry.groupBy(typed.alias("typed"), F.col("year").cast("int").alias("year")).agg(F.min("boe_id").alias("boe_id"))
+    numbered = yearly.select(F.concat(F.lit("k:"), "typed", F.lit("/"), F.col("year").cast("string")).alias("key"), "boe_id")
+    known = fixed.select(F.concat(F.lit("k:"), "match_key").alias("key"), "boe_id")
+    numbers = known.withColumn("__at", F.lit(0)).union(numbered.withColumn("__at", F.lit(1))).groupBy("key").agg(F.min_by("boe_id", "__at").alias("boe_id"))
+    names = fixed.select(F.concat(F.lit("n:"), "match_key").alias("key"), "boe_id", no_years)
+    ranges = yearly.groupBy(F.concat(F.lit("y:"), "typed").alias("key")).agg(F.collect_list(F.struct("year", "boe_id")).alias("years"))
+    return names.union(numbers.select("key", "boe_id", no_years)).union(ranges.select("key", F.lit(None).cast("string").alias("boe_id"), "years"))
+
+
+def registry_cascade(refs: DataFrame, registry: DataFrame, latest: int, years: int = 30) -> DataFrame:
+    """Registry id of ``refs(ref, title, ref_year)`` by name, title, number and year, newest year in range, pattern.
+
+    The first step that finds an entry wins and ``found_by`` names it. A norm without an entry of its own year is
+    looked up by type and number as of ``ref_year`` (``latest`` if there is none), the newest of the last ``years``.
+    Steps are not run one after the other: each distinct reference gives its keys with their priorities, one
+    equi-join meets the index, and the least priority is kept. Answers are joined back to the rows.
+    """
+    asked = refs.select("ref", "title", "ref_year").distinct()
+    clean = legal.clean_reference(F.col("ref"))
+    word = F.coalesce(*[F.when(F.lower("title").contains(w), F.lit(boe_id)) for w, boe_id in dims.TITLE_REGISTRY.items()])
+    steps = [
+        ("name", "n:", F.lower(F.trim("ref"))),
+        ("title", "k:", legal.numbered_key(F.col("title"))),
+        ("title", None, word),
+        ("number", "k:", legal.numbered_key(clean)),
+        ("year", "y:", legal.number_without_year(clean)),
+        *[("pattern", "k:", key) for key in legal.plain_numbers(F.col("ref"))],
+    ]
+    structs = [
+        F.struct(
+            F.lit(i).alias("priority"), F.lit(name).alias("found_by"),
+            (F.concat(F.lit(mark), key) if mark else F.concat(F.lit("="), key)).alias("key"),
+            (F.lit(None).cast("string") if mark else key).alias("given"),
+        )
+        for i, (name, mark, key) in enumerate(steps)
+    ]
+    keys = asked.select("*", F.inline(F.array(*structs))).where(F.col("key").isNotNull())
+    until = F.coalesce("ref_year", F.lit(latest))
+    newest = F.array_max(F.filter("years", lambda e: (e["year"] <= until) & (e["year"] > until - years)))
+    met = keys.join(registry_index(refs.sparkSession, registry), "key", "left").withColumn("__newest", newest)
+    hit = F.coalesce("given", "boe_id", "__newest.boe_id")
+    best = F.min_by(F.struct(hit.alias("boe_id"), "found_by", F.col("__newest.year").alias("found_year")), "priority")
+    found = met.where(hit.isNotNull()).groupBy("ref", "title", "ref_year").agg(best.alias("b"))
+    answers = found.select(*(F.col(c).alias(f"__{c}") for c in ("ref", "title", "ref_year")), "b.boe_id", "b.found_by", "b.found_year")
+    return left_join_hot(refs, answers, {c: f"__{c}" for c in ("ref", "title", "ref_year")}, "mention_id")
+
+
 def check_articles(mentions: DataFrame, law_articles: DataFrame) -> DataFrame:
     """Does the article exist in the law? True, false, or null when the law has no index.
 

@@ -411,6 +411,16 @@ YEAR_REFERENCES = {
     "number": "CAST(l_partkey % 100 + 1 AS INT)",
     "ref_year": "CAST(1965 + l_linenumber * 10 AS INT)",
 }
+CASCADE_REFERENCES = {
+    "mention_id": MENTION_FACTS["mention_id"],
+    "ref": "CASE l_linenumber % 7 WHEN 0 THEN ' LEC ' WHEN 1 THEN 'norma ' || CAST(l_partkey % 9 AS STRING)"
+    " WHEN 2 THEN 'Ley nº ' || CAST(l_partkey % 100 + 1 AS STRING) || '/' || CAST(1961 + l_suppkey % 50 AS STRING)"
+    " WHEN 3 THEN 'Real Decreto ' || CAST(l_partkey % 100 + 1 AS STRING) WHEN 4 THEN 'RD ' || CAST(l_partkey % 100 + 1 AS STRING) || '/1999'"
+    " WHEN 5 THEN 'Ley Orgánica 77/2099, que cita la Ley ' || CAST(l_partkey % 100 + 1 AS STRING) || '/' || CAST(1961 + l_suppkey % 50 AS STRING)"
+    " ELSE 'Ley Orgánica ' || CAST(l_partkey % 9 AS STRING) || '/1985' END",
+    "title": "CASE WHEN l_linenumber % 7 = 1 THEN CASE l_suppkey % 3 WHEN 0 THEN 'Ley 39/2015, de 1 de octubre' WHEN 1 THEN 'El Código Civil' END END",
+    "ref_year": "CASE WHEN l_linenumber % 7 IN (2, 4) THEN 1965 + l_suppkey % 50 WHEN l_linenumber % 7 = 5 THEN 2099 END",
+}
 REGISTRY_ARTICLES = {
     "boe_id": "CASE p_partkey % 2 WHEN 0 THEN 'BOE-A-2015-7391' ELSE 'BOE-A-2015-10565' END",
     "number": "CAST(p_partkey % 3 + 1 AS STRING)",

@@ -650,6 +650,12 @@ def registry_year_range(spark, d):
     return registry.registry_year_range(refs, entries)
 
 
+@query
+def registry_cascade(spark, d):
+    entries = fx.project(fx.read(spark, d, "part"), fx.YEAR_REGISTRY)
+    return registry.registry_cascade(fx.project(fx.read(spark, d, "lineitem"), fx.CASCADE_REFERENCES), entries, 2024)
+
+
 @query
 def article_format_valid(spark, d):
     return fx.law_mentions(spark, d).select(

@@ -523,6 +523,33 @@ ORACLE["registry_year_range"] = ctes(reg=fx.sql("part", fx.YEAR_REGISTRY), refs=
     "SELECT a.law_type, a.number, a.ref_year, r.year AS found_year, r.boe_id FROM asked a JOIN reg r ON a.law_type = r.law_type AND a.number = r.number AND r.year BETWEEN a.ref_year - 29 AND a.ref_year"
     " QUALIFY row_number() OVER (PARTITION BY a.law_type, a.number, a.ref_year ORDER BY r.year DESC, r.boe_id) = 1"
 )) + "SELECT refs.*, found_year, boe_id FROM refs LEFT JOIN hit USING (law_type, number, ref_year)"
+_WORD_ID = "CASE " + " ".join(f"WHEN contains(lower(title), {q(w)}) THEN {q(i)}" for w, i in dims.TITLE_REGISTRY.items()) + " END"
+_BY_TYPE = [("real decreto-ley", "Real\\s+Decreto[\\s-]+Ley"), ("real decreto legislativo", "Real\\s+Decreto\\s+Legislativo"), ("ley orgánica", "Ley\\s+Orgánica"), ("ley", "Ley"), ("real decreto", "Real\\s+Decreto"), ("real decreto", "RD")]
+
+
+def _first_number(c: str, number: str, types: list) -> str:
+    return "coalesce(" + ", ".join(f"{q(k + ' ')} || nullif(regexp_extract({c}, {q('(?i)' + p + chr(92) + 's+(' + number + ')')}, 1), '')" for k, p in types) + ")"
+
+
+_YEARED = "\\d+/\\d{4}"
+_CLEAN = s.clean_reference("ref")
+ORACLE["registry_cascade"] = ctes(
+    refs=fx.sql("lineitem", fx.CASCADE_REFERENCES),
+    reg="SELECT lower(law_type) AS t, number, year, min(boe_id) AS id FROM (" + fx.sql("part", fx.YEAR_REGISTRY) + ") GROUP BY ALL",
+    known=f"SELECT k, v FROM {s.mapping(dims.registry_entries())} UNION ALL SELECT t || ' ' || number || '/' || year, id FROM reg"
+    f" WHERE t || ' ' || number || '/' || year NOT IN (SELECT k FROM {s.mapping(dims.registry_entries())})",
+    asked=f"SELECT DISTINCT ref, title, ref_year, coalesce(ref_year, 2024) AS upto, {_WORD_ID} AS word, {_first_number('title', _YEARED, _BY_TYPE)} AS t, {_first_number(_CLEAN, _YEARED, _BY_TYPE)} AS n,"
+    f" {_first_number(_CLEAN, chr(92) + 'd+', _BY_TYPE)} AS y, " + ", ".join(f"{_first_number('ref', _YEARED, [kind])} AS p{i}" for i, kind in enumerate(_BY_TYPE[3:])) + " FROM refs",
+    ranged="SELECT a.ref, a.title, a.ref_year, r.year, r.id FROM asked a JOIN reg r ON a.y = r.t || ' ' || r.number AND r.year BETWEEN a.upto - 29 AND a.upto"
+    " QUALIFY row_number() OVER (PARTITION BY a.ref, a.title, a.ref_year ORDER BY r.year DESC) = 1",
+    answers=f"SELECT a.ref, a.title, a.ref_year, coalesce(x.v, b.v, a.word, c.v, g.id, p.v, d.v, e.v) AS boe_id, CASE WHEN x.v IS NOT NULL THEN 'name' WHEN coalesce(b.v, a.word) IS NOT NULL THEN 'title'"
+    " WHEN c.v IS NOT NULL THEN 'number' WHEN g.id IS NOT NULL THEN 'year' WHEN coalesce(p.v, d.v, e.v) IS NOT NULL THEN 'pattern' END AS found_by,"
+    f" CASE WHEN coalesce(x.v, b.v, a.word, c.v) IS NULL THEN g.year END AS found_year FROM asked a LEFT JOIN {s.mapping(dims.registry_entries())} x ON lower(trim(a.ref)) = x.k"
+    " LEFT JOIN known b ON a.t = b.k LEFT JOIN known c ON a.n = c.k LEFT JOIN ranged g ON a.ref = g.ref AND a.title IS NOT DISTINCT FROM g.title AND a.ref_year IS NOT DISTINCT FROM g.ref_year"
+    " LEFT JOIN known p ON a.p0 = p.k LEFT JOIN known d ON a.p1 = d.k LEFT JOIN known e ON a.p2 = e.k",
+) + (
+    "SELECT r.*, a.boe_id, a.found_by, a.found_year FROM refs r JOIN answers a ON r.ref = a.ref AND r.title IS NOT DISTINCT FROM a.title AND r.ref_year IS NOT DISTINCT FROM a.ref_year"
+)
 ORACLE["article_format_valid"] = ctes(m=s.LAW_MENTIONS) + (
     "SELECT mention_id, article, regexp_matches(article, '^\\d+(?:\\.\\d+)?(?:\\.[a-z])?$') AS valid FROM m"
 )
