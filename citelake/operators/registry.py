@@ -260,27 +260,81 @@ def enrich_eu(mentions: DataFrame, eu_acts: DataFrame) -> DataFrame:
     )
 
 
-def enrich_mentions(mentions: DataFrame, laws: DataFrame, articles: DataFrame, eu_acts: DataFrame) -> DataFrame:
-    """Exportable mentions with expanded name, law title, article text and EU data.
+def one_each(table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per key, the smallest values in the order given; rows with a null key go."""
+    full = table.dropna(subset=keys)
+    return full.groupBy(*keys).agg(F.min(F.struct(*values)).alias("__v")).select(*keys, "__v.*")
 
-    ``laws(boe_id, law_title)``, ``articles(boe_id, number, article_text)``, ``eu_acts(celex, title)``.
-    The filter runs first, on the preserved side of all joins.
+
+def law_article_answers(asked: DataFrame, articles: DataFrame) -> DataFrame:
+    """Title and text of distinct ``asked(boe_id, article)``: the article itself, its base article, or the base
+    article's id in words; ``found_as`` says which.
+
+    ``articles(boe_id, number, article_title, article_text)``; the candidates of each pair meet it in one join.
     """
-    kept = mentions.where(legal.is_exportable(F.col("boe_id"), F.col("text")))
-    named = dims.lookup(kept, dims.LAW_ACRONYMS, F.col("law"), "law_expanded")
-    keyed = named.withColumn("celex", legal.derive_celex(F.col("text"))).withColumn(
-        "__n", legal.article_base(F.col("article"))
+    number = F.regexp_replace(legal.normalize_article(F.col("article")), r"^0+(?=\d)", "")
+    base = F.substring_index(number, ".", 1)
+    steps = [("exact", number), ("base", base), ("word", legal.article_word_id(base.try_cast("int")))]
+    structs = [F.struct(F.lit(i).alias("priority"), F.lit(name).alias("found_as"), key.alias("number")) for i, (name, key) in enumerate(steps)]
+    keys = asked.dropna().distinct().select("boe_id", "article", F.inline(F.array(*structs))).where(F.col("number").isNotNull())
+    known = one_each(articles, ["boe_id", "number"], ["article_title", "article_text"])
+    best = F.min_by(F.struct("article_title", "article_text", "found_as"), "priority")
+    return keys.join(known, ["boe_id", "number"]).groupBy("boe_id", "article").agg(best.alias("__b")).select("boe_id", "article", "__b.*")
+
+
+def eu_article_answers(asked: DataFrame, eu_articles: DataFrame) -> DataFrame:
+    """Titles and texts of distinct ``asked(celex, article)``, where an article may be a list like ``22 y 25``.
+
+    ``eu_articles(celex, number, title, text)``. Found articles keep the order of the list; lists are as long as
+    their mention, so they are put together per mention text.
+    """
+    listed = F.col("article").contains(" y ") | F.col("article").contains(",")
+    numbers = F.when(listed, F.regexp_extract_all("article", F.lit(r"(\d+)"))).otherwise(F.array(F.trim(F.regexp_replace("article", FOLD + "art_", ""))))
+    each = asked.dropna().distinct().select("celex", "article", F.posexplode(numbers).alias("at", "number"))
+    known = one_each(eu_articles, ["celex", "number"], ["title", "text"])
+    found = each.join(known, ["celex", "number"]).groupBy("celex", "article").agg(
+        F.sort_array(F.collect_list(F.struct("at", "number", "title", "text"))).alias("__f")
     )
-    out = keyed.join(laws, "boe_id", "left")
-    texts = articles.select(F.col("boe_id").alias("__id"), F.col("number").alias("__no"), "article_text")
-    out = out.join(texts, (F.col("boe_id") == F.col("__id")) & (F.col("__n") == F.col("__no")), "left").drop("__id", "__no", "__n")
-    acts = eu_acts.select(F.col("celex").alias("__c"), F.col("title").alias("eu_title"))
-    out = out.join(acts, F.col("celex") == F.col("__c"), "left").drop("__c")
-    return out.withColumn("eu_url", legal.eu_url(F.col("celex"), F.lit("ES"))).withColumn(
-        "boe_url", legal.registry_url(F.col("boe_id"))
+    title = F.transform("__f", lambda x: F.concat(F.lit("Art. "), x["number"], F.lit(": "), F.coalesce(x["title"], F.lit(""))))
+    body = F.transform("__f", lambda x: F.coalesce(x["text"], F.lit("")))
+    return found.select(
+        "celex", "article", F.array_join(title, " | ").alias("eu_article_title"), F.array_join(body, "\n\n---\n\n").alias("eu_article_text")
     )
 
 
+def enrich_mentions(
+    mentions: DataFrame, laws: DataFrame, articles: DataFrame, eu_acts: DataFrame, eu_articles: DataFrame | None = None
+) -> DataFrame:
+    """Exportable mentions with expanded name, law title, article title and text, and EU data.
+
+    ``laws(boe_id, law_title)``, ``articles(boe_id, number, article_title, article_text)``, ``eu_acts(celex, title)``,
+    ``eu_articles(celex, number, title, text)``. A mention without an article but with inferred ``articles`` gets its
+    first one as an example. Side tables may repeat keys; one row of each is used, so mentions never multiply. Each
+    distinct law, article or act is looked up once, and answers are joined back with hot keys dealt out.
+    """
+    kept = mentions.where(legal.is_exportable(F.col("boe_id"), F.col("text")))
+    named = dims.lookup(kept, dims.LAW_ACRONYMS, F.col("law"), "law_expanded")
+    example = F.get("articles", F.lit(0)) if "articles" in mentions.columns else F.lit(None).cast("string")
+    example = F.when(F.col("article").isNull(), example)
+    keyed = named.withColumn("celex", legal.derive_celex(F.col("text"))).withColumn("example_article", example)
+    keyed = keyed.withColumn("__article", F.coalesce("article", "example_article"))
+
+    out = left_join_hot(keyed, _keys(one_each(laws, ["boe_id"], ["law_title"]), boe_id="__id"), {"boe_id": "__id"}, "mention_id")
+    asked = keyed.select("boe_id", F.col("__article").alias("article"))
+    answers = _keys(law_article_answers(asked, articles), boe_id="__id", article="__no")
+    out = left_join_hot(out, answers, {"boe_id": "__id", "__article": "__no"}, "mention_id").drop("__article")
+    acts = one_each(eu_acts, ["celex"], ["title"]).withColumnRenamed("title", "eu_title")
+    out = left_join_hot(out, _keys(acts, celex="__c"), {"celex": "__c"}, "mention_id")
+    if eu_articles is not None:
+        answers = _keys(eu_article_answers(keyed.select("celex", "article"), eu_articles), celex="__c", article="__no")
+        out = left_join_hot(out, answers, {"celex": "__c", "article": "__no"}, "mention_id")
+    return out.withColumn("eu_url", legal.eu_url(F.col("celex"), F.lit("ES"))).withColumn("boe_url", legal.registry_url(F.col("boe_id")))
+
+
+def _keys(table: DataFrame, **names: str) -> DataFrame:
+    return table.withColumnsRenamed(names)
+
+
 def eu_article_summary(wanted: DataFrame, eu_articles: DataFrame) -> DataFrame:
     """Per act: how many of the wanted articles were found. ``wanted(celex, article)``."""
     known = eu_articles.select(F.col("celex").alias("__c"), F.col("article").alias("__a")).distinct()

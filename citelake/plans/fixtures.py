@@ -438,6 +438,31 @@ ARTICLE_TEXTS = {
     "number": "CAST(p_partkey % 3 + 1 AS STRING)",
     "article_text": "'<p>Texto del artículo ' || CAST(p_partkey % 3 + 1 AS STRING) || '</p>'",
 }
+_ENRICH_LAW = "CAST(l_partkey % 26 + 1 AS STRING)"
+ENRICH_MENTIONS = {
+    "doc_id": "l_orderkey",
+    "mention_id": MENTION_FACTS["mention_id"],
+    "text": f"CASE l_linenumber % 7 WHEN 0 THEN 'artículo 2.1.a de la Ley ' || {_ENRICH_LAW} || '/2015' WHEN 1 THEN 'Ley ' || {_ENRICH_LAW} || '/2015'"
+    f" WHEN 2 THEN 'art. ' || CAST(l_suppkey % 4 + 1 AS STRING) || ' de la Ley ' || {_ENRICH_LAW} || '/2015' WHEN 3 THEN 'artículos 22 y 25 del Reglamento (UE) 2016/679'"
+    " WHEN 4 THEN 'art. ' || CAST(l_suppkey % 40 + 1 AS STRING) || ' del Reglamento (UE) 2014/910' WHEN 5 THEN 'art. 456 LEC' ELSE 'Ley 3' END",
+    "law": f"CASE WHEN l_linenumber % 7 = 5 THEN 'LEC' WHEN l_linenumber % 7 < 3 THEN 'Ley ' || {_ENRICH_LAW} || '/2015' END",
+    "article": "CASE l_linenumber % 7 WHEN 0 THEN '2.1.a' WHEN 2 THEN '0' || CAST(l_suppkey % 4 + 1 AS STRING) WHEN 3 THEN '22 y 25'"
+    " WHEN 4 THEN 'art_' || CAST(l_suppkey % 40 + 1 AS STRING) WHEN 5 THEN '456' END",
+    "boe_id": f"CASE WHEN l_linenumber % 7 IN (0, 1, 2, 5) THEN 'BOE-A-2015-' || {_ENRICH_LAW} END",
+    "inferred": "CASE WHEN l_linenumber % 7 = 1 AND l_suppkey % 3 > 0 THEN CAST(l_suppkey % 3 AS STRING) || ',3' END",
+}
+ENRICH_ARTICLES = {
+    "boe_id": "'BOE-A-2015-' || CAST(p_partkey % 26 + 1 AS STRING)",
+    "number": "CASE p_size % 4 WHEN 3 THEN 'acuatrocientoscincuentayseis' ELSE CAST(p_size % 4 + 1 AS STRING) END",
+    "article_title": "CASE WHEN p_size > 9 THEN 'Artículo ' || CAST(p_size % 4 + 1 AS STRING) || '. ' || p_type END",
+    "article_text": "'<p>Texto ' || p_name || '</p>'",
+}
+ENRICH_EU_ARTICLES = {
+    "celex": EU_ACTS["celex"],
+    "number": "CAST(page_id % 31 + 1 AS STRING)",
+    "title": "CASE WHEN page_id % 2 = 0 THEN 'Título ' || CAST(page_id % 5 AS STRING) END",
+    "text": "'Texto de ' || url",
+}
 PAGE_CELEX = "'3' || CAST(2000 + {k} % 20 AS STRING) || 'R' || lpad(CAST({k} % 50 AS STRING), 4, '0')"
 EU_WANTED = {
     "celex": PAGE_CELEX.format(k="l_partkey"),

@@ -703,13 +703,18 @@ def enrich_eu(spark, d):
     return registry.enrich_eu(extract.extract_eu(fx.cited_documents(spark, d)), acts)
 
 
+def _enriched(spark, d):
+    inferred = F.when(F.col("inferred").isNotNull(), F.split("inferred", ","))
+    facts = fx.project(fx.read(spark, d, "lineitem"), fx.ENRICH_MENTIONS).withColumn("articles", inferred).drop("inferred")
+    law_titles = fx.project(fx.read(spark, d, "nation"), fx.LAW_TITLES)
+    articles = fx.project(fx.read(spark, d, "part"), fx.ENRICH_ARTICLES)
+    pages = fx.read(spark, d, "pages")
+    return registry.enrich_mentions(facts, law_titles, articles, fx.project(pages, fx.EU_ACTS), fx.project(pages, fx.ENRICH_EU_ARTICLES))
+
+
 @query
 def enrich_mentions(spark, d):
-    facts = fx.mention_facts(spark, d).select("doc_id", "mention_id", "text", "law", "article", "boe_id")
-    law_titles = fx.project(fx.read(spark, d, "nation"), fx.LAW_TITLES)
-    articles = fx.read(spark, d, "part").selectExpr(*[f"{e} AS {n}" for n, e in fx.ARTICLE_TEXTS.items()]).distinct()
-    acts = fx.project(fx.read(spark, d, "pages"), fx.EU_ACTS).distinct()
-    return registry.enrich_mentions(facts, law_titles, articles, acts)
+    return _enriched(spark, d).drop("articles")
 
 
 @query

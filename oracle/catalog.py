@@ -618,13 +618,27 @@ ORACLE["enrich_eu"] = _docs(
     f" (SELECT *, {s.celex('text')} AS celex FROM ({s.EU_HITS})) m LEFT JOIN acts a ON m.celex = a.celex WHERE m.celex IS NOT NULL",
     acts=_ACTS,
 )
-ORACLE["enrich_mentions"] = _facts(
-    f"SELECT doc_id, mention_id, text, law, m.article, m.boe_id, l.v AS law_expanded, m.celex, law_title, article_text, a.title AS eu_title, {q(dims.EU_URL)} || 'ES/TXT/?uri=CELEX:' || m.celex AS eu_url,"
-    f" {q(dims.REGISTRY_URL)} || m.boe_id AS boe_url FROM (SELECT doc_id, mention_id, text, law, article, boe_id, {s.celex('text')} AS celex FROM facts WHERE {s.EXPORTABLE}) m"
-    f" LEFT JOIN {s.mapping(dims.LAW_ACRONYMS)} l ON m.law = l.k LEFT JOIN titles t ON m.boe_id = t.boe_id LEFT JOIN texts x ON m.boe_id = x.boe_id AND split_part({s.normal_article('m.article')}, '.', 1) = x.number"
-    " LEFT JOIN acts a ON m.celex = a.celex",
-    titles=fx.sql("nation", fx.LAW_TITLES), texts="SELECT DISTINCT * FROM (" + fx.sql("part", fx.ARTICLE_TEXTS) + ")", acts=_ACTS,
-)
+_ENRICHED = dict(
+    facts=f"SELECT *, split_part(inferred, ',', 1) AS example, {s.celex('text')} AS celex FROM (" + fx.sql("lineitem", fx.ENRICH_MENTIONS) + f") WHERE {s.EXPORTABLE}",
+    titles="SELECT boe_id, min(law_title) AS law_title FROM (" + fx.sql("nation", fx.LAW_TITLES) + ") GROUP BY 1",
+    texts="SELECT * FROM (" + fx.sql("part", fx.ENRICH_ARTICLES) + ") QUALIFY row_number() OVER (PARTITION BY boe_id, number ORDER BY article_title NULLS FIRST, article_text) = 1",
+    acts="SELECT celex, min(title) AS title FROM (" + fx.sql("pages", fx.EU_ACTS) + ") GROUP BY 1",
+    eu="SELECT * FROM (" + fx.sql("pages", fx.ENRICH_EU_ARTICLES) + ") QUALIFY row_number() OVER (PARTITION BY celex, number ORDER BY title NULLS FIRST, text) = 1",
+    wanted=f"SELECT DISTINCT boe_id, coalesce(article, example) AS article, regexp_replace({s.normal_article('coalesce(article, example)')}, '^0+(\\d)', '\\1') AS n FROM facts"
+    " WHERE boe_id IS NOT NULL AND coalesce(article, example) IS NOT NULL",
+    found="SELECT w.boe_id, w.article, coalesce(x.number, b.number, v.number) AS hit, CASE WHEN x.number IS NOT NULL THEN 'exact' WHEN b.number IS NOT NULL THEN 'base' WHEN v.number IS NOT NULL THEN 'word' END AS found_as"
+    " FROM wanted w LEFT JOIN texts x ON w.boe_id = x.boe_id AND w.n = x.number LEFT JOIN texts b ON w.boe_id = b.boe_id AND split_part(w.n, '.', 1) = b.number"
+    " LEFT JOIN texts v ON w.boe_id = v.boe_id AND split_part(w.n, '.', 1) = '456' AND v.number = 'acuatrocientoscincuentayseis'",
+    listed="SELECT celex, article, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS number FROM (SELECT DISTINCT celex, article,"
+    " CASE WHEN contains(article, ' y ') OR contains(article, ',') THEN regexp_extract_all(article, '\\d+') ELSE [replace(article, 'art_', '')] END AS l FROM facts WHERE celex IS NOT NULL AND article IS NOT NULL)",
+    eu_found="SELECT l.celex, article, string_agg('Art. ' || number || ': ' || coalesce(title, ''), ' | ' ORDER BY pos) AS eu_article_title, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS eu_article_text"
+    " FROM listed l JOIN eu USING (celex, number) GROUP BY 1, 2",
+    enriched=f"SELECT doc_id, mention_id, m.text, law, m.article, m.boe_id, l.v AS law_expanded, m.celex, CASE WHEN m.article IS NULL THEN example END AS example_article, law_title, x.article_title, x.article_text,"
+    f" f.found_as, a.title AS eu_title, e.eu_article_title, e.eu_article_text, {q(dims.EU_URL)} || 'ES/TXT/?uri=CELEX:' || m.celex AS eu_url, {q(dims.REGISTRY_URL)} || m.boe_id AS boe_url"
+    f" FROM facts m LEFT JOIN {s.mapping(dims.LAW_ACRONYMS)} l ON m.law = l.k LEFT JOIN titles t ON m.boe_id = t.boe_id LEFT JOIN found f ON m.boe_id = f.boe_id AND coalesce(m.article, example) = f.article"
+    " LEFT JOIN texts x ON f.boe_id = x.boe_id AND f.hit = x.number LEFT JOIN acts a ON m.celex = a.celex LEFT JOIN eu_found e ON m.celex = e.celex AND m.article = e.article",
+)
+ORACLE["enrich_mentions"] = ctes(**_ENRICHED) + "SELECT * FROM enriched"
 ORACLE["eu_article_batch"] = ctes(wanted=fx.sql("lineitem", fx.EU_WANTED), found=(
     "SELECT DISTINCT " + fx.PAGE_CELEX.format(k="page_id") + " AS celex, unnest([CAST(page_id % 40 + 1 AS VARCHAR), CAST(page_id % 40 + 2 AS VARCHAR)]) AS article FROM pages"
 )) + (
