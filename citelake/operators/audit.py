@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelake.operators.ordered import number_rows
+
 HIGH, MEDIUM = 90, 70
 LAW_KINDS = ("ley", "real_decreto", "sigla")
 
@@ -207,8 +209,15 @@ def audit_grade(mentions: DataFrame) -> DataFrame:
     return profile(mentions).select("doc_id", *grade_columns())
 
 
+def review(mentions: DataFrame, width: int) -> DataFrame:
+    """All mentions that need a review, numbered within their document."""
+    low = mentions.where(_conf() < MEDIUM).withColumn("confidence", _conf())
+    return number_rows(low, ["doc_id"], "start", "seq", width, ("mention_id",)).select("doc_id", "seq", "mention_id", "text", "confidence", "agent")
+
+
 def low_confidence_first(mentions: DataFrame, k: int = 10) -> DataFrame:
-    """The first k mentions of each document that need a review, as one short array per document."""
+    """The first k mentions of each document that need a review, as one short array per document;
+    ``review`` has all of them as rows."""
     low = mentions.where(_conf() < MEDIUM)
     order = W.partitionBy("doc_id").orderBy("start", "mention_id")
     first = low.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citelake.functions.legal import registry_url
-from citelake.functions.text import strip_tags
+from citelake.functions.text import none_if_empty, strip_tags
 from citelake.operators.audit import low_confidence_first, one_decimal
 from citelake.operators.ordered import number_rows
 
@@ -43,7 +43,14 @@ def _optional(mentions: DataFrame, columns: list[str]) -> DataFrame:
     return mentions
 
 
-_OPTIONAL = ["law_title", "law_expanded", "eu_url", "celex", "eu_title", "article_title", "article_text"]
+_OPTIONAL = [
+    "law_title", "law_expanded", "eu_url", "celex", "eu_title", "article_title", "article_text", "eu_article_title", "eu_article_text",
+]
+
+
+def _article(field: str) -> Column:
+    """Title or text of the article; that of an EU act goes first."""
+    return none_if_empty(F.coalesce(none_if_empty(F.col(f"eu_article_{field}")), F.col(f"article_{field}")))
 
 
 def _counts(verified: DataFrame, inferred: DataFrame | None) -> DataFrame:
@@ -85,10 +92,10 @@ def report_markdown(verified: DataFrame, as_of: str, width: int, inferred: DataF
             _labelled("**Título:** ", F.col("eu_title")),
             F.lit(""),
         )),
-        F.when(F.col("article_text").isNotNull(), _lines(
+        F.when(_article("text").isNotNull(), _lines(
             F.lit("### Texto del Artículo\n"),
-            F.concat(F.lit("**"), F.col("article_title"), F.lit("**\n")),
-            F.concat(strip_tags(F.col("article_text")), F.lit("\n")),
+            F.concat(F.lit("**"), _article("title"), F.lit("**\n")),
+            F.concat(strip_tags(_article("text")), F.lit("\n")),
         )),
         F.lit("---\n"),
     )
@@ -134,8 +141,9 @@ def report_markdown(verified: DataFrame, as_of: str, width: int, inferred: DataF
     )
 
 
-def report_text(verified: DataFrame, as_of: str, width: int) -> DataFrame:
-    """Plain-text report: (doc_id, section, seq, block). FIXED VALUES: the wording."""
+def report_text(verified: DataFrame, as_of: str, width: int, inferred: DataFrame | None = None) -> DataFrame:
+    """Plain-text report: (doc_id, section, seq, block), sections as in the Markdown report, 9 the last line.
+    FIXED VALUES: the wording."""
     numbered = number_rows(_optional(verified, _OPTIONAL), ["doc_id"], "start", "seq", width)
     rule, thin = "=" * 80, "-" * 80
     block = _lines(
@@ -152,10 +160,10 @@ def report_text(verified: DataFrame, as_of: str, width: int) -> DataFrame:
             _labelled("Título EUR-Lex: ", F.col("eu_title")),
             F.lit(""),
         )),
-        F.when(F.col("article").isNotNull() & F.col("article_text").isNotNull(), _lines(
+        F.when(F.col("article").isNotNull() & _article("text").isNotNull(), _lines(
             F.lit("TEXTO DEL ARTÍCULO:\n"),
-            F.concat(F.col("article_title"), F.lit("\n")),
-            F.concat(strip_tags(F.col("article_text")), F.lit("\n")),
+            F.concat(_article("title"), F.lit("\n")),
+            F.concat(strip_tags(_article("text")), F.lit("\n")),
         )),
         F.lit(""),
     )
@@ -164,16 +172,43 @@ def report_text(verified: DataFrame, as_of: str, width: int) -> DataFrame:
         F.concat(F.lit("Tema: "), F.col("doc_id").cast("string")),
         F.lit(f"Fecha: {as_of}"),
         F.concat(F.lit("Total referencias verificadas: "), F.col("verified").cast("string")),
+        F.when(F.col("inferred") > 0, F.concat(F.lit("Total referencias inferidas (BETA): "), F.col("inferred").cast("string"))),
         F.lit(f"\n{rule}\n\nSECCIÓN 1: REFERENCIAS VERIFICADAS\n"),
         F.lit(f"Estas referencias han sido extraídas directamente del texto y validadas\ncontra el BOE oficial.\n\n{rule}\n"),
     )
-    counts = _counts(verified, None)
+    counts = _counts(verified, inferred)
     parts = [
         counts.select("doc_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("seq"), head.alias("block")),
         numbered.select("doc_id", F.lit(1).alias("section"), "seq", block.alias("block")),
         counts.select("doc_id", F.lit(9).alias("section"), F.lit(0).cast("long").alias("seq"), F.lit(rule).alias("block")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if inferred is not None:
+        place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("confidence"), "concept", "boe_id"))
+        norm = _lines(
+            F.lit(thin),
+            F.concat(F.lit("BETA-"), F.col("seq").cast("string"), F.lit(". "), F.coalesce("law", F.lit("Ley desconocida"))),
+            F.lit(thin + "\n"),
+            F.concat(F.lit("Concepto detectado: "), F.col("concept")),
+            F.concat(F.lit("Confianza IA: "), F.col("confidence").cast("string"), F.lit("%")),
+            F.concat(F.lit("Artículos sugeridos: "), F.col("articles"), F.lit("\n")),
+            _labelled("BOE-ID: ", F.col("boe_id")),
+            F.concat(F.lit("BOE URL: "), registry_url(F.col("boe_id")), F.lit("\n")),
+            F.lit(""),
+        )
+        inferred_head = (
+            f"\n{rule}\nSECCIÓN 2: POSIBLES NORMAS INFERIDAS (BETA)\n{rule}\n\n"
+            "IMPORTANTE: Estas referencias han sido sugeridas por IA basándose en\nconceptos legales detectados en el texto.\n\n"
+            "No fueron mencionadas explícitamente en el material de estudio, pero\npueden ser relevantes para el tema.\n\n"
+            f"RECOMENDACIÓN: Verifica estas referencias con tu material de estudio\nantes de incluirlas.\n\n{rule}\n"
+        )
+        parts += [
+            inferred.select("doc_id").distinct().select("doc_id", F.lit(2).alias("section"), F.lit(0).cast("long").alias("seq"), F.lit(inferred_head).alias("block")),
+            inferred.withColumn("seq", place.cast("long")).select("doc_id", F.lit(3).alias("section"), "seq", norm.alias("block")),
+        ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def write_report(blocks: DataFrame, path: str) -> None:

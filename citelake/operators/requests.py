@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelake import dims
 from citelake.functions.text import chunk_text, none_if_empty, request_key
 from citelake.operators.extract import extract
 from citelake.operators.resolve import batches
@@ -30,6 +31,11 @@ def batch_requests(mentions: DataFrame, size: int, width: int, answered: DataFra
     return keyed if answered is None else keyed.join(answered.select("request_key"), "request_key", "left_anti")
 
 
+def acronym_hints() -> str:
+    """The acronyms that a request explains, each with its law, from the dictionary."""
+    return "SIGLAS: " + "; ".join(f"{acronym} = {law}" for acronym, law in sorted(dims.acronym_laws().items()))
+
+
 def extraction_requests(docs: DataFrame, previous: DataFrame, hints: str, size: int, overlap: int, known: int = 10) -> DataFrame:
     """Extraction requests: every chunk of a document with the mentions known so far and acronym hints.
 

@@ -155,11 +155,12 @@ def pages_with(planted: str) -> dict[str, str]:
 
 
 # EU acts whose title sits in the h1, in a meta tag, or in a titled div
+_NO_H1 = "replace(replace(html, '<h1', '<h2'), '</h1>', '</h2>')"
 EU_TITLE_PAGES = {
     "page_id": "page_id",
     "html": "CASE page_id % 3 WHEN 0 THEN html"
-    " WHEN 1 THEN '<html><head><meta name=\"DC.title\" content=\"Acto ' || url || '\"></head><body></body></html>'"
-    " ELSE '<html><body><div id=\"document-title\"> Acto <b>' || url || '</b></div></body></html>' END",
+    f" WHEN 1 THEN replace({_NO_H1}, '</article>', '<meta name=\"DC.title\" content=\"Acto ' || url || '\"></article>')"
+    f" ELSE replace({_NO_H1}, '</article>', '<div id=\"document-title\"> Acto <b>' || url || '</b></div></article>') END",
 }
 
 
@@ -292,7 +293,8 @@ RESPONSES = {
 
 BROKEN_TOPICS = {
     "page_id": "page_id",
-    "json": "CASE page_id % 3 WHEN 0 THEN '{\"document\": {\"documentVersion\": {\"contenido\": \"pagina ' || url || '\"}}}'"
+    "json": "CASE page_id % 3 WHEN 0 THEN '{\"document\": {\"documentVersion\": {\"contenido\": \"pagina ' || url || ' '"
+    " || replace(replace(replace(html, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"}}}'"
     " WHEN 1 THEN '{\"document\": {\"documentVersion\": {\"contenido\" : \"' || html || '\"}}}'"
     " ELSE 'sin json ' || html END",
 }
@@ -369,12 +371,13 @@ ALIAS_EDGES = {
     "ley 40/2015": "lrjsp",
     "lpac": "ley 39/2015",
 }
+#: one answer for every mention of every batch
 ANSWERS = {
-    "doc_id": "o_orderkey",
-    "batch_id": "CAST(0 AS INT)",
-    "idx": "CAST(1 AS INT)",
-    "law": "CASE o_orderstatus WHEN 'F' THEN 'Ley 1/2000' WHEN 'O' THEN NULL ELSE 'CE' END",
-    "confidence": "CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE 97 END",
+    "doc_id": "doc_id",
+    "batch_id": "batch_id",
+    "idx": "idx",
+    "law": "CASE (doc_id + batch_id + idx) % 3 WHEN 0 THEN 'Ley 1/2000' WHEN 1 THEN NULL ELSE 'CE' END",
+    "confidence": "CASE WHEN (doc_id + idx) % 2 = 0 THEN NULL ELSE 97 END",
     "reason": "'contexto'",
 }
 ACRONYM_MENTIONS = {
@@ -449,6 +452,8 @@ ENRICH_MENTIONS = {
     "article": "CASE l_linenumber % 7 WHEN 0 THEN '2.1.a' WHEN 2 THEN '0' || CAST(l_suppkey % 4 + 1 AS STRING) WHEN 3 THEN '22 y 25'"
     " WHEN 4 THEN 'art_' || CAST(l_suppkey % 40 + 1 AS STRING) WHEN 5 THEN '456' END",
     "boe_id": f"CASE WHEN l_linenumber % 7 IN (0, 1, 2, 5) THEN 'BOE-A-2015-' || {_ENRICH_LAW} END",
+    "kind": "CASE l_linenumber % 7 WHEN 1 THEN 'ley' WHEN 5 THEN 'Título' WHEN 0 THEN 'capítulo' ELSE 'articulo' END",
+    "start": MENTION_FACTS["start"],
     "inferred": "CASE WHEN l_linenumber % 7 = 1 AND l_suppkey % 3 > 0 THEN CAST(l_suppkey % 3 AS STRING) || ',3' END",
 }
 ENRICH_ARTICLES = {

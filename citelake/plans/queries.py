@@ -133,7 +133,7 @@ def report_markdown(spark, d):
 
 @query
 def report_markdown_inferred(spark, d):
-    inferred = report.first_articles(_validated_ranges(spark, d), 5)
+    inferred = report.first_articles(_validated_ranges(spark, d))
     verified = filters.exportable(fx.mention_facts(spark, d)).join(inferred.select("doc_id").distinct(), "doc_id", "left_semi")
     return report.report_markdown(verified, "01/01/2024 00:00", MENTION_WIDTH, inferred)
 
@@ -144,6 +144,17 @@ def report_text(spark, d):
     return report.report_text(verified, "01/01/2024 00:00", MENTION_WIDTH)
 
 
+@query
+def report_markdown_enriched(spark, d):
+    return report.report_markdown(_enriched(spark, d), "01/01/2024 00:00", MENTION_WIDTH)
+
+
+@query
+def report_text_inferred(spark, d):
+    inferred = report.first_articles(_validated_ranges(spark, d))
+    return report.report_text(_enriched(spark, d), "01/01/2024 00:00", MENTION_WIDTH, inferred)
+
+
 @query
 def report_json(spark, d):
     return report.report_json(filters.project_result(fx.mention_facts(spark, d)))
@@ -285,7 +296,7 @@ def model_requests(spark, d):
 def extraction_requests(spark, d):
     docs = fx.cited_documents(spark, d)
     previous = extract.extract(docs, ("B",))
-    return requests.extraction_requests(docs, previous, "SIGLAS: LEC, LPAC", 50_000, 500, 3)
+    return requests.extraction_requests(docs, previous, requests.acronym_hints(), 50_000, 500)
 
 
 @query
@@ -478,7 +489,7 @@ def resolve_prev_article(spark, d):
 
 def _resolved(spark, d):
     batched = resolve.batches(fx.mention_facts(spark, d), 10, MENTION_WIDTH)
-    answers = fx.project(fx.read(spark, d, "orders"), fx.ANSWERS)
+    answers = fx.project(batched, fx.ANSWERS)
     return batched, resolve.apply_resolutions(batched, answers)
 
 
@@ -714,7 +725,7 @@ def _enriched(spark, d):
 
 @query
 def enrich_mentions(spark, d):
-    return _enriched(spark, d).drop("articles")
+    return _enriched(spark, d).drop("articles", "kind", "start")
 
 
 @query
@@ -937,6 +948,11 @@ def audit_report(spark, d):
     return report.audit_report(audit.audit(facts), facts)
 
 
+@query
+def audit_review(spark, d):
+    return audit.review(fx.mention_facts(spark, d), MENTION_WIDTH)
+
+
 @query
 def corpus_summary(spark, d):
     facts = fx.mention_facts(spark, d)

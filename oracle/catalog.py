@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from citelake import dims
-from citelake.operators import extract
+from citelake.operators import extract, requests
 from citelake.plans import fixtures as fx
 from oracle import sql as s
 from oracle.sql import ctes, q
@@ -27,7 +27,7 @@ ORACLE["topic_json_scan"] = "SELECT page_id, html FROM pages"
 ORACLE["topic_json_rescue"] = (
     "SELECT page_id, rescued, md5(h) AS html_md5, CAST(length(h) AS INTEGER) AS n FROM (SELECT page_id,"
     " CASE page_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'field' ELSE 'heading' END AS rescued,"
-    " CASE page_id % 3 WHEN 0 THEN 'pagina ' || url WHEN 1 THEN html ELSE regexp_extract(html, '(?s)<h1[^>]*>.*</h1>') END AS h FROM pages)"
+    " CASE page_id % 3 WHEN 0 THEN 'pagina ' || url || ' ' || html WHEN 1 THEN html ELSE regexp_extract(html, '(?s)<h1[^>]*>.*</h1>') END AS h FROM pages)"
 )
 ORACLE["text_decode_fallback"] = "SELECT doc_id, CAST(length(text) AS INTEGER) AS n, md5(text) AS text_md5 FROM documents"
 ORACLE["text_to_topic_html"] = ctes(docs=fx.sql("documents", fx.PARAGRAPH_DOCUMENTS)) + (
@@ -225,10 +225,10 @@ ORACLE["model_requests"] = _facts(
 )
 ORACLE["extraction_requests"] = _docs(
     "SELECT doc_id, chunk_no, start, CAST(length(body) AS INTEGER) AS chars, 'extract_' || md5(body) AS request_key FROM (SELECT c.doc_id, chunk_no, start,"
-    " chunk || coalesce(chr(10) || chr(10) || 'REFERENCIAS YA ENCONTRADAS:' || chr(10) || known, '') || chr(10) || chr(10) || 'SIGLAS: LEC, LPAC' AS body"
+    " chunk || coalesce(chr(10) || chr(10) || 'REFERENCIAS YA ENCONTRADAS:' || chr(10) || known, '') || chr(10) || chr(10) || " + q(requests.acronym_hints()) + " AS body"
     f" FROM ({_chunks(50_000, 500)}) c LEFT JOIN known k ON c.doc_id = k.doc_id)",
     prev=f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, mention_id) AS n FROM ({s.mentions('B')})",
-    known="SELECT doc_id, string_agg('- ' || text, chr(10) ORDER BY n) FILTER (n <= 3) || CASE WHEN count(*) > 3 THEN chr(10) || '... y más' ELSE '' END AS known FROM prev GROUP BY doc_id",
+    known="SELECT doc_id, string_agg('- ' || text, chr(10) ORDER BY n) FILTER (n <= 10) || CASE WHEN count(*) > 10 THEN chr(10) || '... y más' ELSE '' END AS known FROM prev GROUP BY doc_id",
 )
 _BROKEN = (
     "SELECT o_orderkey AS doc_id, 'Ley ' || n || '/2015' AS text, '```json {\"referencias\": [{\"texto_completo\": \"' AS pre, n FROM"
@@ -384,7 +384,7 @@ _RESOLVED = (
     " hit AS resolved, CASE WHEN hit THEN reason END AS reason, confidence AS before FROM (SELECT b.*, a.law AS a_law, a.confidence AS a_conf, a.reason, a.law IS NOT NULL AS hit"
     " FROM batched b LEFT JOIN answers a ON b.doc_id = a.doc_id AND b.batch_id = a.batch_id AND b.idx = a.idx) b"
 )
-_BATCHES = dict(batched=_BATCHED.format(n=10, src="facts"), answers=fx.sql("orders", fx.ANSWERS))
+_BATCHES = dict(batched=_BATCHED.format(n=10, src="facts"), answers=fx.sql("batched", fx.ANSWERS))
 ORACLE["apply_resolutions"] = _facts(f"SELECT * EXCLUDE (before) FROM ({_RESOLVED})", **_BATCHES)
 ORACLE["resolution_metrics"] = _facts(
     "SELECT count(*) AS total, count(*) FILTER (coalesce(before, 100) < 100) AS incomplete, count(*) FILTER (coalesce(before, 100) < 100 AND resolved) AS resolved,"
@@ -619,23 +619,23 @@ ORACLE["enrich_eu"] = _docs(
     acts=_ACTS,
 )
 _ENRICHED = dict(
-    facts=f"SELECT *, split_part(inferred, ',', 1) AS example, {s.celex('text')} AS celex FROM (" + fx.sql("lineitem", fx.ENRICH_MENTIONS) + f") WHERE {s.EXPORTABLE}",
+    cited=f"SELECT *, split_part(inferred, ',', 1) AS example, {s.celex('text')} AS celex FROM (" + fx.sql("lineitem", fx.ENRICH_MENTIONS) + f") WHERE {s.EXPORTABLE}",
     titles="SELECT boe_id, min(law_title) AS law_title FROM (" + fx.sql("nation", fx.LAW_TITLES) + ") GROUP BY 1",
     texts="SELECT * FROM (" + fx.sql("part", fx.ENRICH_ARTICLES) + ") QUALIFY row_number() OVER (PARTITION BY boe_id, number ORDER BY article_title NULLS FIRST, article_text) = 1",
     acts="SELECT celex, min(title) AS title FROM (" + fx.sql("pages", fx.EU_ACTS) + ") GROUP BY 1",
     eu="SELECT * FROM (" + fx.sql("pages", fx.ENRICH_EU_ARTICLES) + ") QUALIFY row_number() OVER (PARTITION BY celex, number ORDER BY title NULLS FIRST, text) = 1",
-    wanted=f"SELECT DISTINCT boe_id, coalesce(article, example) AS article, regexp_replace({s.normal_article('coalesce(article, example)')}, '^0+(\\d)', '\\1') AS n FROM facts"
+    wanted=f"SELECT DISTINCT boe_id, coalesce(article, example) AS article, regexp_replace({s.normal_article('coalesce(article, example)')}, '^0+(\\d)', '\\1') AS n FROM cited"
     " WHERE boe_id IS NOT NULL AND coalesce(article, example) IS NOT NULL",
-    found="SELECT w.boe_id, w.article, coalesce(x.number, b.number, v.number) AS hit, CASE WHEN x.number IS NOT NULL THEN 'exact' WHEN b.number IS NOT NULL THEN 'base' WHEN v.number IS NOT NULL THEN 'word' END AS found_as"
+    answered="SELECT w.boe_id, w.article, coalesce(x.number, b.number, v.number) AS hit, CASE WHEN x.number IS NOT NULL THEN 'exact' WHEN b.number IS NOT NULL THEN 'base' WHEN v.number IS NOT NULL THEN 'word' END AS found_as"
     " FROM wanted w LEFT JOIN texts x ON w.boe_id = x.boe_id AND w.n = x.number LEFT JOIN texts b ON w.boe_id = b.boe_id AND split_part(w.n, '.', 1) = b.number"
     " LEFT JOIN texts v ON w.boe_id = v.boe_id AND split_part(w.n, '.', 1) = '456' AND v.number = 'acuatrocientoscincuentayseis'",
     listed="SELECT celex, article, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS number FROM (SELECT DISTINCT celex, article,"
-    " CASE WHEN contains(article, ' y ') OR contains(article, ',') THEN regexp_extract_all(article, '\\d+') ELSE [replace(article, 'art_', '')] END AS l FROM facts WHERE celex IS NOT NULL AND article IS NOT NULL)",
+    " CASE WHEN contains(article, ' y ') OR contains(article, ',') THEN regexp_extract_all(article, '\\d+') ELSE [replace(article, 'art_', '')] END AS l FROM cited WHERE celex IS NOT NULL AND article IS NOT NULL)",
     eu_found="SELECT l.celex, article, string_agg('Art. ' || number || ': ' || coalesce(title, ''), ' | ' ORDER BY pos) AS eu_article_title, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS eu_article_text"
     " FROM listed l JOIN eu USING (celex, number) GROUP BY 1, 2",
     enriched=f"SELECT doc_id, mention_id, m.text, law, m.article, m.boe_id, l.v AS law_expanded, m.celex, CASE WHEN m.article IS NULL THEN example END AS example_article, law_title, x.article_title, x.article_text,"
     f" f.found_as, a.title AS eu_title, e.eu_article_title, e.eu_article_text, {q(dims.EU_URL)} || 'ES/TXT/?uri=CELEX:' || m.celex AS eu_url, {q(dims.REGISTRY_URL)} || m.boe_id AS boe_url"
-    f" FROM facts m LEFT JOIN {s.mapping(dims.LAW_ACRONYMS)} l ON m.law = l.k LEFT JOIN titles t ON m.boe_id = t.boe_id LEFT JOIN found f ON m.boe_id = f.boe_id AND coalesce(m.article, example) = f.article"
+    f" FROM cited m LEFT JOIN {s.mapping(dims.LAW_ACRONYMS)} l ON m.law = l.k LEFT JOIN titles t ON m.boe_id = t.boe_id LEFT JOIN answered f ON m.boe_id = f.boe_id AND coalesce(m.article, example) = f.article"
     " LEFT JOIN texts x ON f.boe_id = x.boe_id AND f.hit = x.number LEFT JOIN acts a ON m.celex = a.celex LEFT JOIN eu_found e ON m.celex = e.celex AND m.article = e.article",
 )
 ORACLE["enrich_mentions"] = ctes(**_ENRICHED) + "SELECT * FROM enriched"
@@ -799,6 +799,9 @@ ORACLE["audit_report"] = _facts(
     low="SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, mention_id) AS i FROM facts WHERE coalesce(confidence, 0) < 70",
     r="SELECT doc_id, chr(10) || '🔍 Referencias que Requieren Revisión Manual:' || chr(10) || string_agg(chr(10) || '   ' || i || '. ' || text || ' (confianza: ' || coalesce(confidence, 0) || '%)' || chr(10) || '      Encontrado por: ' || agent, chr(10) ORDER BY i) AS review FROM low WHERE i <= 10 GROUP BY doc_id",
 )
+ORACLE["audit_review"] = _facts(
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, mention_id) AS seq, mention_id, text, coalesce(confidence, 0) AS confidence, agent FROM facts WHERE coalesce(confidence, 0) < 70"
+)
 ORACLE["corpus_summary"] = _facts(
     "SELECT doc_id, total, validated, rate, rounds, converged, total_consensus, partial_consensus, round(100.0::DOUBLE * (total_consensus + partial_consensus) / distinct_keys, 6) AS agreement, grade, level"
     " FROM graded JOIN levels USING (doc_id) JOIN conv USING (doc_id)",
@@ -834,13 +837,31 @@ ORACLE["inferred_new_only"] = ctes(**_RANGES, **_VALID, cited=f"SELECT DISTINCT
     "SELECT * EXCLUDE (old, olds, n) FROM (SELECT *, count(*) FILTER (old) OVER (PARTITION BY doc_id, concept, boe_id) AS olds, count(*) OVER (PARTITION BY doc_id, concept, boe_id) AS n FROM marked)"
     " WHERE NOT old AND n - olds >= 0.5 * n"
 )
-ORACLE["report_markdown_inferred"] = ctes(facts=s.FACTS, **_RANGES, **_VALID, norms=(
+_STRUCT = "CASE WHEN contains(translate(lower(kind), 'íáéóú', 'iaeou'), 'capitulo') THEN '{c}' || chr(10) || chr(10) WHEN contains(translate(lower(kind), 'íáéóú', 'iaeou'), 'titulo') THEN '{t}' || chr(10) || chr(10) ELSE '' END"
+_ART_TEXT = "trim(regexp_replace(regexp_replace(coalesce(eu_article_text, article_text), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))"
+_ENRICHED_ROWS = dict(_ENRICHED, verified="SELECT e.*, m.kind, m.start FROM enriched e JOIN cited m USING (mention_id, doc_id)", numbered=(
+    "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS seq FROM verified"
+))
+ORACLE["report_markdown_enriched"] = ctes(**_ENRICHED_ROWS) + (
+    f"{_MD_HEAD} FROM (SELECT doc_id, count(*) AS verified, 0 AS inferred FROM verified GROUP BY doc_id) UNION ALL"
+    " SELECT doc_id, 1 AS section, seq, '## ' || seq || '. ' || text || chr(10) || chr(10) || coalesce('**' || coalesce(law_title, law_expanded) || '**' || chr(10) || chr(10), '')"
+    f" || {_STRUCT.format(c='**Tipo:** Capítulo', t='**Tipo:** Título de código')}"
+    " || coalesce('**BOE-ID:** ' || boe_id || chr(10) || '**BOE URL:** [' || boe_url || '](' || boe_url || ')' || chr(10) || chr(10), '')"
+    " || CASE WHEN eu_url IS NOT NULL THEN '**CELEX:** ' || celex || chr(10) || '**EUR-Lex:** [' || eu_url || '](' || eu_url || ')' || chr(10) || coalesce('**Título:** ' || eu_title || chr(10), '') || chr(10) ELSE '' END"
+    f" || CASE WHEN coalesce(eu_article_text, article_text) IS NOT NULL THEN '### Texto del Artículo' || chr(10) || chr(10) || coalesce('**' || coalesce(eu_article_title, article_title) || '**' || chr(10) || chr(10), '') || {_ART_TEXT} || chr(10) || chr(10) ELSE '' END"
+    " || '---' || chr(10) AS block FROM numbered"
+)
+_NORMS = dict(facts=s.FACTS, **_RANGES, **_VALID, norms=(
     "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, concept, boe_id) AS seq FROM (SELECT doc_id, concept, law, boe_id, confidence,"
-    " string_agg(article, ', ' ORDER BY i) FILTER (i <= 5) || CASE WHEN count(*) > 5 THEN '...' ELSE '' END AS articles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, concept, boe_id"
+    " string_agg(article, ', ' ORDER BY i) FILTER (i <= 20) || CASE WHEN count(*) > 20 THEN '...' ELSE '' END AS articles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, concept, boe_id"
     " ORDER BY CAST(article AS INTEGER), article) AS i FROM valid) GROUP BY 1, 2, 3, 4, 5)"
-), verified=f"SELECT * FROM facts WHERE {s.EXPORTABLE} AND doc_id IN (SELECT doc_id FROM norms)", numbered=_NUMBERED, counts=(
+))
+_COUNTS = (
     "SELECT doc_id, CAST(coalesce(v, 0) AS BIGINT) AS verified, CAST(coalesce(i, 0) AS BIGINT) AS inferred FROM (SELECT doc_id, count(*) AS v FROM verified GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS i FROM norms GROUP BY 1) USING (doc_id)"
-)) + (
+)
+ORACLE["report_markdown_inferred"] = ctes(
+    **_NORMS, verified=f"SELECT * FROM facts WHERE {s.EXPORTABLE} AND doc_id IN (SELECT doc_id FROM norms)", numbered=_NUMBERED, counts=_COUNTS,
+) + (
     f"{_MD_HEAD} FROM counts UNION ALL {_MD_BODY} UNION ALL SELECT doc_id, 3, seq, '## BETA-' || seq || '. ' || law || chr(10) || chr(10) || '**Concepto detectado:** ' || concept || chr(10)"
     " || '**Confianza IA:** ' || confidence || '%' || chr(10) || '**Artículos sugeridos:** ' || articles || chr(10) || chr(10) || '**BOE-ID:** ' || boe_id || chr(10)"
     f" || '**BOE URL:** [' || {q(dims.REGISTRY_URL)} || boe_id || '](' || {q(dims.REGISTRY_URL)} || boe_id || ')' || chr(10) || chr(10) || '---' || chr(10) FROM norms"
@@ -849,6 +870,34 @@ ORACLE["report_markdown_inferred"] = ctes(facts=s.FACTS, **_RANGES, **_VALID, no
     " || '**No fueron mencionadas explícitamente** en el material de estudio, pero pueden ser relevantes para el tema.' || chr(10) || chr(10)"
     " || '✅ **Recomendación:** Verifica estas referencias con tu material de estudio antes de incluirlas.' || chr(10) || chr(10) || '---' || chr(10) FROM norms"
 )
+_NL = "chr(10)"
+_THIN = "repeat('-', 80)"
+
+
+def _say(*lines: str) -> str:
+    """SQL text of lines joined by line ends; a line that is no SQL expression is quoted."""
+    return f" || {_NL} || ".join(lines)
+
+
+ORACLE["report_text_inferred"] = ctes(**_NORMS, **_ENRICHED_ROWS, counts=_COUNTS) + (
+    "SELECT doc_id, 0 AS section, CAST(0 AS BIGINT) AS seq, "
+    + _say(_TXT, "'REFERENCIAS LEGALES EXTRAÍDAS'", _TXT, "''", "'Tema: ' || doc_id", "'Fecha: 01/01/2024 00:00'", "'Total referencias verificadas: ' || verified")
+    + f" || {_NL} || CASE WHEN inferred > 0 THEN 'Total referencias inferidas (BETA): ' || inferred || {_NL} ELSE '' END || "
+    + _say("''", _TXT, "''", "'SECCIÓN 1: REFERENCIAS VERIFICADAS'", "''", "'Estas referencias han sido extraídas directamente del texto y validadas'", "'contra el BOE oficial.'", "''", _TXT, "''")
+    + f" AS block FROM counts UNION ALL SELECT doc_id, 9, 0, {_TXT} FROM counts UNION ALL SELECT doc_id, 1, seq, "
+    + _say(_THIN, "seq || '. ' || text", _THIN, "''", "coalesce('LEY: ' || coalesce(law_title, law_expanded) || chr(10) || chr(10), '')")
+    + f" || {_STRUCT.format(c='TIPO: Capítulo', t='TIPO: Título de código')} || coalesce('BOE-ID: ' || boe_id || chr(10) || 'BOE URL: ' || boe_url || chr(10) || chr(10), '')"
+    " || CASE WHEN eu_url IS NOT NULL THEN 'CELEX: ' || celex || chr(10) || 'EUR-Lex URL: ' || eu_url || chr(10) || coalesce('Título EUR-Lex: ' || eu_title || chr(10), '') || chr(10) ELSE '' END"
+    " || CASE WHEN article IS NOT NULL AND coalesce(eu_article_text, article_text) IS NOT NULL THEN 'TEXTO DEL ARTÍCULO:' || chr(10) || chr(10)"
+    f" || coalesce(coalesce(eu_article_title, article_title) || chr(10) || chr(10), '') || {_ART_TEXT} || chr(10) || chr(10) ELSE '' END FROM numbered"
+    " UNION ALL SELECT DISTINCT doc_id, 2, 0, "
+    + _say("''", _TXT, "'SECCIÓN 2: POSIBLES NORMAS INFERIDAS (BETA)'", _TXT, "''", "'IMPORTANTE: Estas referencias han sido sugeridas por IA basándose en'", "'conceptos legales detectados en el texto.'", "''",
+           "'No fueron mencionadas explícitamente en el material de estudio, pero'", "'pueden ser relevantes para el tema.'", "''", "'RECOMENDACIÓN: Verifica estas referencias con tu material de estudio'", "'antes de incluirlas.'", "''", _TXT, "''")
+    + " FROM norms UNION ALL SELECT doc_id, 3, seq, "
+    + _say(_THIN, "'BETA-' || seq || '. ' || law", _THIN, "''", "'Concepto detectado: ' || concept", "'Confianza IA: ' || confidence || '%'", "'Artículos sugeridos: ' || articles", "''",
+           "'BOE-ID: ' || boe_id", f"'BOE URL: ' || {q(dims.REGISTRY_URL)} || boe_id", "''", "''")
+    + " FROM norms"
+)
 
 # -- streaming ----------------------------------------------------------------------------------------------------------------
 
