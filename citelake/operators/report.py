@@ -48,6 +48,11 @@ _OPTIONAL = [
 ]
 
 
+def _numbered(verified: DataFrame, width: int) -> DataFrame:
+    ties = ("mention_id",) if "mention_id" in verified.columns else ()
+    return number_rows(_optional(verified, _OPTIONAL), ["doc_id"], "start", "seq", width, ties)
+
+
 def _article(field: str) -> Column:
     """Title or text of the article; that of an EU act goes first."""
     return none_if_empty(F.coalesce(none_if_empty(F.col(f"eu_article_{field}")), F.col(f"article_{field}")))
@@ -77,7 +82,7 @@ def first_articles(inferred: DataFrame, k: int = 20) -> DataFrame:
 def report_markdown(verified: DataFrame, as_of: str, width: int, inferred: DataFrame | None = None) -> DataFrame:
     """Markdown report: (doc_id, section, seq, block). Section 0 is the head, 1 the verified mentions,
     2 the head of the inferred norms, 3 the inferred norms. FIXED VALUES: the wording."""
-    numbered = number_rows(_optional(verified, _OPTIONAL), ["doc_id"], "start", "seq", width)
+    numbered = _numbered(verified, width)
     url = registry_url(F.col("boe_id"))
     block = _lines(
         F.concat(F.lit("## "), F.col("seq").cast("string"), F.lit(". "), F.coalesce("text", F.lit("N/A"))),
@@ -144,7 +149,7 @@ def report_markdown(verified: DataFrame, as_of: str, width: int, inferred: DataF
 def report_text(verified: DataFrame, as_of: str, width: int, inferred: DataFrame | None = None) -> DataFrame:
     """Plain-text report: (doc_id, section, seq, block), sections as in the Markdown report, 9 the last line.
     FIXED VALUES: the wording."""
-    numbered = number_rows(_optional(verified, _OPTIONAL), ["doc_id"], "start", "seq", width)
+    numbered = _numbered(verified, width)
     rule, thin = "=" * 80, "-" * 80
     block = _lines(
         F.lit(thin),

@@ -2,23 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from citelake.operators import dedupe, extract, filters, normalize, registry
+from citelake.functions.legal import canonical_key, law_form, normalize_article
+from citelake.functions.text import FOLD, first_group, none_if_empty
+from citelake.operators import dedupe, extract, filters, normalize, registry, resolve
 from citelake.session import cut_lineage
 
+_EU_ARTICLE = FOLD + r"^art(?:ículo|iculo|\.)?\s+(\d+)\s+del?\s"
+_EU_CONFIDENCE = 95
+
+
+def with_acts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Mentions plus those of EU acts, and articles with the law or the act they stand in front of.
+
+    An article takes the law named right after it; one that begins the mention of an EU act takes the whole
+    text of that mention. The articles that are left take the document's principal law, where there is one.
+    """
+    acts = extract.extract_eu(docs)
+    by_law = extract.extract_article_law(docs).select("doc_id", "start", F.col("law").alias("__law"))
+    places = by_law.join(acts.select("doc_id", "start", F.col("text").alias("__act")), ["doc_id", "start"], "full")
+    of_act = (F.col("kind") == "articulo") & F.col("__act").isNotNull()
+    of_law = (F.col("kind") == "articulo") & F.col("__act").isNull()
+    placed = mentions.join(places, ["doc_id", "start"], "left")
+    known = placed.select(
+        "doc_id", "mention_id", "agent", "kind", F.when(of_act, F.col("__act")).otherwise(F.col("text")).alias("text"),
+        F.when(of_law, F.coalesce("law", "__law")).otherwise(F.col("law")).alias("law"), "article", "confidence", "start",
+        of_act.alias("__eu"),
+    )
+    kind, agent = F.lit("reglamento"), F.lit("C")
+    own = acts.select(
+        "doc_id", extract.mention_id(F.col("doc_id"), agent, kind, F.col("start"), F.col("text")).alias("mention_id"),
+        agent.alias("agent"), kind.alias("kind"), "text", F.lit(None).cast("string").alias("law"),
+        first_group(F.col("text"), _EU_ARTICLE).alias("article"), F.lit(_EU_CONFIDENCE).alias("confidence"), "start", F.lit(True).alias("__eu"),
+    )
+    rows = cut_lineage(known.unionByName(own))
+    form = F.coalesce(law_form(F.col("law"))[0], law_form(F.col("text"))[0], F.col("law"))
+    principal = resolve.principal_law(rows.withColumn("law", F.when(F.col("law").isNotNull(), form))).select("doc_id", "principal_law")
+    bare = (F.col("kind") == "articulo") & ~F.col("__eu")
+    joined = rows.join(principal, "doc_id", "left")
+    return joined.withColumn("law", F.when(bare, F.coalesce("law", "principal_law")).otherwise(F.col("law"))).drop("principal_law", "__eu")
+
+
+def mention_key() -> Column:
+    """Law and article; an article of an unknown law is known by its own place."""
+    law = canonical_key(F.col("boe_id"), F.coalesce("celex", "law_norm", "law"), F.lit(None).cast("string"))
+    article = none_if_empty(normalize_article(F.col("article")))
+    place = F.when(law == "", F.concat(F.lit("@"), F.col("start").cast("string"))).otherwise(F.lit(""))
+    return F.when(article.isNull(), law).otherwise(F.concat(law, F.lit(":art"), article, place))
+
 
 def found_mentions(docs: DataFrame, law_articles: DataFrame | None = None) -> DataFrame:
-    """Mentions of all profiles with normal form, CELEX, registry id, validation and comparison ``key``.
+    """Mentions of all profiles and of EU acts with normal form, CELEX, registry id, validation and ``key``.
 
-    ``docs(doc_id, text)``. Noise goes first. The table is written once, so that consensus, audit
-    and reports read it instead of the texts.
+    ``docs(doc_id, text)``. Noise goes first. An EU act with a CELEX is valid. The table is written once, so that
+    consensus, audit and reports read it instead of the texts.
     """
-    raw = extract.drop_noise(extract.extract(docs))
+    raw = with_acts(extract.drop_noise(extract.extract(docs)), docs)
     valid = registry.validate_mentions(normalize.normalize_mentions(raw), law_articles)
-    return cut_lineage(dedupe.with_key(valid))
+    act = F.col("celex").isNotNull()
+    valid = valid.withColumn("validated", F.col("validated") | act).withColumn("reason", F.when(~act, F.col("reason")))
+    return cut_lineage(valid.withColumn("key", mention_key()))
 
 
 def accepted(found: DataFrame, minimum: int = 70) -> DataFrame:
     """Mentions above the threshold, one per document and key; profile A before B before C."""
-    return dedupe.dedupe_canonical(filters.threshold(found, minimum, 100))
+    order = [dedupe.agent_rank(F.col("agent")), F.col("start"), F.col("mention_id")]
+    return dedupe.keep_first(filters.threshold(found, minimum, 100), ["doc_id", "key"], order)

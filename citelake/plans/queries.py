@@ -1078,24 +1078,34 @@ def top_cited_laws(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["top_cited_laws"] = top_cited_laws
 
 
+_WHOLE = [
+    "doc_id", "mention_id", "agent", "kind", "text", "law", "article", "start", "confidence", "celex", "law_norm", "boe_id",
+    "article_exists", "validated", "reason", "key",
+]
+
+
+def _whole(spark, d):
+    articles = fx.project(fx.read(spark, d, "part"), fx.REGISTRY_ARTICLES)
+    return whole.found_mentions(fx.cited_documents(spark, d), articles).select(*_WHOLE)
+
+
 @query
 def pipeline_mentions(spark, d):
-    return whole.accepted(whole.found_mentions(fx.cited_documents(spark, d)))
+    return whole.accepted(_whole(spark, d))
 
 
 @query
 def pipeline_consensus(spark, d):
-    return consensus.consensus(whole.found_mentions(fx.cited_documents(spark, d)))
+    return consensus.consensus(_whole(spark, d))
 
 
 @query
 def pipeline_audit(spark, d):
-    rows = audit.audit(whole.accepted(whole.found_mentions(fx.cited_documents(spark, d))))
-    nested = [c for c, kind in rows.dtypes if kind.startswith(("array", "struct"))]
-    return rows.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in rows.columns])
+    rows = whole.accepted(_whole(spark, d))
+    return report.audit_report(audit.audit(rows), rows)
 
 
 @query
 def pipeline_report(spark, d):
-    verified = filters.exportable(whole.accepted(whole.found_mentions(fx.cited_documents(spark, d))))
-    return report.report_markdown(verified, "01/01/2024 00:00", TEXT_WIDTH)
+    verified = filters.exportable(whole.accepted(_whole(spark, d)))
+    return report.report_markdown(verified.withColumn("eu_url", legal.eu_url(F.col("celex"), F.lit("ES"))), "01/01/2024 00:00", TEXT_WIDTH)

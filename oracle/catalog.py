@@ -783,7 +783,7 @@ ORACLE["audit_grade"] = _facts(
 )
 _V = "CAST({} AS VARCHAR)"
 _R1 = "CAST(round(100.0::DOUBLE * {} / total, 1) AS VARCHAR)"
-ORACLE["audit_report"] = _facts(
+_AUDIT_TEXT = (
     "SELECT doc_id, concat_ws(chr(10), repeat('=', 80), '📊 INFORME DE AUDITORÍA DE REFERENCIAS LEGALES', repeat('=', 80),"
     " chr(10) || emoji || ' CALIFICACIÓN GLOBAL: ' || CAST(grade AS VARCHAR) || '/10 - ' || level, chr(10) || '📊 Factores:', '   - Confianza: ' || CAST(confidence_factor AS VARCHAR) || '/10',"
     " '   - Validación: ' || CAST(validation_factor AS VARCHAR) || '/10', '   - Cobertura: ' || CAST(coverage_factor AS VARCHAR) || '/10', chr(10) || '📋 Resumen:', '   - Total referencias: ' || total,"
@@ -791,7 +791,9 @@ ORACLE["audit_report"] = _facts(
     f" '   - Alta (≥90%): ' || high || ' (' || {_R1.format('high')} || '%)', '   - Media (70-89%): ' || medium || ' (' || {_R1.format('medium')} || '%)', '   - Baja (<70%): ' || low || ' (' || {_R1.format('low')} || '%)',"
     f" chr(10) || '✅ Validación:', '   - Validadas: ' || validated || '/' || total || ' (' || {_R1.format('validated')} || '%)', '   - BOE-IDs encontrados: ' || ids_found,"
     " chr(10) || '📈 Cobertura:', '   - Tipos encontrados: ' || array_to_string(kinds, ', '), '   - Leyes: ' || laws, '   - Artículos: ' || articles, probs, sugg, review, chr(10) || repeat('=', 80)) AS report"
-    " FROM graded LEFT JOIN p USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN r USING (doc_id)",
+    " FROM graded LEFT JOIN p USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN r USING (doc_id)"
+)
+_AUDIT_PARTS = dict(
     **_P, graded=s.GRADED,
     pr=f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM ({s.problem_rows(None)})",
     p="SELECT doc_id, chr(10) || '⚠️  Problemas Detectados: ' || count(*) || chr(10) || string_agg(chr(10) || '   ' || i || '. [' || upper(severity) || '] ' || problem || chr(10) || '      ' || description || chr(10) || '      → ' || action, chr(10) ORDER BY i) AS probs FROM pr GROUP BY doc_id",
@@ -799,6 +801,7 @@ ORACLE["audit_report"] = _facts(
     low="SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, mention_id) AS i FROM facts WHERE coalesce(confidence, 0) < 70",
     r="SELECT doc_id, chr(10) || '🔍 Referencias que Requieren Revisión Manual:' || chr(10) || string_agg(chr(10) || '   ' || i || '. ' || text || ' (confianza: ' || coalesce(confidence, 0) || '%)' || chr(10) || '      Encontrado por: ' || agent, chr(10) ORDER BY i) AS review FROM low WHERE i <= 10 GROUP BY doc_id",
 )
+ORACLE["audit_report"] = _facts(_AUDIT_TEXT, **_AUDIT_PARTS)
 ORACLE["audit_review"] = _facts(
     "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, mention_id) AS seq, mention_id, text, coalesce(confidence, 0) AS confidence, agent FROM facts WHERE coalesce(confidence, 0) < 70"
 )
@@ -954,3 +957,44 @@ ORACLE["top_cited_laws"] = _docs(
     kept="SELECT * FROM found WHERE coalesce(confidence, 0) >= 70",
     normed=s.normalized("kept"), info=s.law_info("normed"), refs="SELECT *, CAST(NULL AS VARCHAR) AS title FROM info",
 )
+
+# -- the whole way ------------------------------------------------------------------------------------------------------------
+
+_NOISE = "regexp_matches(text, '\\bST[CS]\\b') OR regexp_matches(text, '(?i)^\\s*(?:la|el)\\s+(?:ley|norma|código|reglamento)\\s*$')"
+_LAW_PART = "CASE WHEN coalesce(boe_id, '') <> '' THEN 'BOE:' || boe_id ELSE replace(trim(lower(coalesce(celex, law_norm, law, ''))), ' ', '') END"
+_WHOLE = dict(
+    docs=s.CITED,
+    mentions=f"SELECT * FROM ({s.mentions()}) WHERE NOT ({_NOISE})",
+    acts=f"SELECT doc_id, start, text AS act FROM ({s.EU_HITS})",
+    lawful=f"SELECT doc_id, start, law AS its_law FROM ({_ARTICLE_LAW})",
+    placed="SELECT doc_id, mention_id, agent, kind, CASE WHEN kind = 'articulo' AND act IS NOT NULL THEN act ELSE text END AS text,"
+    " CASE WHEN kind = 'articulo' AND act IS NULL THEN coalesce(law, its_law) ELSE law END AS law, article, confidence, start, kind = 'articulo' AND act IS NOT NULL AS eu"
+    " FROM mentions LEFT JOIN acts USING (doc_id, start) LEFT JOIN lawful USING (doc_id, start)"
+    " UNION ALL SELECT doc_id, sha256(concat_ws('|', doc_id, 'C', 'reglamento', start, act)), 'C', 'reglamento', act, NULL,"
+    " nullif(regexp_extract(act, '(?i)^art(?:ículo|iculo|\\.)?\\s+(\\d+)\\s+del?\\s', 1), ''), 95, start, true FROM acts",
+    top=f"SELECT doc_id, law AS top_law FROM (SELECT doc_id, law, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS every FROM"
+    f" (SELECT doc_id, coalesce({s.law_form('law')[0]}, {_TF}, law) AS law FROM placed WHERE law IS NOT NULL) GROUP BY 1, 2)"
+    " QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, law) = 1 AND n * 100 >= 80 * every",
+    found="SELECT * REPLACE (CASE WHEN kind = 'articulo' AND NOT eu THEN coalesce(law, top_law) ELSE law END AS law) FROM placed LEFT JOIN top USING (doc_id)",
+    aliased=f"SELECT *, CASE WHEN acr AND celex IS NULL THEN coalesce(al, law) ELSE law END AS law2 FROM (SELECT e.*, a.v AS al, {s.is_acronym('kind', 'text')} AS acr FROM ({_eu_normal('found')}) e"
+    f" LEFT JOIN {s.mapping(dims.acronym_laws())} a ON replace(upper(trim(text)), '.', '') = a.k)",
+    normed=f"SELECT doc_id, mention_id, agent, kind, text, law2 AS law, article, confidence, start, celex, CASE WHEN celex IS NULL THEN coalesce({_LF}, {_TF}) END AS law_norm FROM aliased",
+    info=s.law_info("normed"), refs="SELECT *, CAST(NULL AS VARCHAR) AS title FROM info", ids=s.registry_ids("refs"), known=fx.sql("part", fx.REGISTRY_ARTICLES),
+    judged=f"SELECT *, celex IS NOT NULL OR (ref IS NOT NULL AND boe_id IS NOT NULL AND coalesce(article_exists, true)) AS validated, CASE WHEN celex IS NOT NULL THEN NULL"
+    " WHEN ref IS NULL THEN 'No se pudo extraer información de ley' WHEN boe_id IS NULL THEN 'No se encontró BOE-ID' WHEN NOT article_exists THEN 'Artículo ' || article || ' NO existe en el BOE oficial' END AS reason,"
+    f" {_LAW_PART} AS law_part, nullif({s.normal_article('article')}, '') AS art FROM ({_checked('ids', 'known')})",
+    keyed="SELECT doc_id, mention_id, agent, kind, text, law, article, start, confidence, celex, law_norm, boe_id, article_exists, validated, reason,"
+    " CASE WHEN art IS NULL THEN law_part ELSE law_part || ':art' || art || CASE WHEN law_part = '' THEN '@' || start ELSE '' END END AS key FROM judged",
+    facts=f"SELECT * FROM keyed WHERE coalesce(confidence, 100) >= 70 QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY {s.RANK}, start, mention_id) = 1",
+)
+ORACLE["pipeline_mentions"] = ctes(**_WHOLE) + "SELECT * FROM facts"
+ORACLE["pipeline_consensus"] = ctes(**_WHOLE) + s.LEVELS
+ORACLE["pipeline_audit"] = ctes(**_WHOLE, **_AUDIT_PARTS) + _AUDIT_TEXT
+ORACLE["pipeline_report"] = ctes(
+    **_WHOLE, verified=f"SELECT *, {q(dims.EU_URL)} || 'ES/TXT/?uri=CELEX:' || celex AS eu_url, {q(dims.REGISTRY_URL)} || boe_id AS url FROM facts WHERE {s.EXPORTABLE}",
+    numbered="SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, mention_id) AS seq FROM verified",
+) + (
+    f"{_MD_HEAD} FROM (SELECT doc_id, count(*) AS verified, 0 AS inferred FROM verified GROUP BY doc_id) UNION ALL"
+    " SELECT doc_id, 1, seq, '## ' || seq || '. ' || text || chr(10) || chr(10) || coalesce('**BOE-ID:** ' || boe_id || chr(10) || '**BOE URL:** [' || url || '](' || url || ')' || chr(10) || chr(10), '')"
+    " || coalesce('**CELEX:** ' || celex || chr(10) || '**EUR-Lex:** [' || eu_url || '](' || eu_url || ')' || chr(10) || chr(10), '') || '---' || chr(10) FROM numbered"
+)

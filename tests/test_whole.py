@@ -17,6 +17,21 @@ def test_three_laws_found_by_all_profiles(spark):
     assert (got["agents_present"], got["distinct_keys"], got["total_consensus"]) == (3, 3, 3)
 
 
+def test_articles_go_with_their_law_and_acts_are_found(spark):
+    text = "artículo 5 de la Ley 39/2015 y artículo 5 de la Ley 40/2015, y el RGPD, art. 6 del Reglamento (UE) 2016/679"
+    rows = whole.accepted(whole.found_mentions(docs(spark, text))).collect()
+    keys = [r["key"] for r in rows]
+    assert sorted(k for k in keys if k.endswith(":art5")) == ["BOE:BOE-A-2015-10565:art5", "BOE:BOE-A-2015-10566:art5"]
+    assert sorted(k for k in keys if k.startswith("32016r")) == ["32016r0679", "32016r0679:art6"] and len(keys) == len(set(keys))
+    assert all(r["validated"] and r["reason"] is None for r in rows if r["celex"])
+
+
+def test_bare_articles_take_the_principal_law_or_stay_apart(spark):
+    rows = docs(spark, "Ley 39/2015. Véase el artículo 7.", "artículo 7 y otra vez artículo 7", "")
+    got = {(r["doc_id"], r["key"]) for r in whole.accepted(whole.found_mentions(rows)).collect() if r["kind"] == "articulo"}
+    assert got == {(0, "BOE:BOE-A-2015-10565:art7"), (1, ":art7@0"), (1, ":art7@22")}
+
+
 def test_text_or_law_on_three_profiles_at_one_place(spark):
     rows = extract.extract(docs(spark, "Ley 39/2015 y luego Ley 40/2015; otra vez Ley 39/2015"))
     kept = dedupe.dedupe_text_or_law(rows).orderBy("start").collect()
