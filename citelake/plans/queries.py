@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from citelake.operators import (
     audit, consensus, dedupe, extract, filters, infer, laws, normalize, registry, report, requests, resolve, whole,
 )
 from citelake.plans import fixtures as fx
+from citelake.session import checkpoint_dir
 from citelake.sources import cache, files, topics
 from citelake.sources import registry as payloads
 from citelake.streaming import admission, intake, jobs
@@ -119,6 +121,29 @@ def cache_ttl_filter(spark, d):
     return cache.within_ttl(rows, F.expr(f"TIMESTAMP_NTZ '{fx.AS_OF}'"), 2)
 
 
+def _new_folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def cache_upsert_stored(spark, d):
+    rows = fx.lookup_cache(spark, d)
+    table = cache.stored_cache(spark, _new_folder(spark, "cache"), rows.schema.simpleString()[7:-1].replace(":", " "), 8)
+    for part in (2, 0, 1, 2):  # a part that arrives again changes nothing
+        table.merge(rows.where(F.pmod("event_id", F.lit(3)) == part))
+    return table.read()
+
+
+@query
+def stream_cache_upsert(spark, d):
+    events = spark.readStream.schema(fx.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    lookups = fx.project(events, fx.LOOKUP_CACHE)
+    base = _new_folder(spark, "cache")
+    table = cache.stored_cache(spark, f"{base}/rows", lookups.schema.simpleString()[7:-1].replace(":", " "), 8)
+    cache.upsert_stream(lookups, table, f"{base}/state")
+    return table.read()
+
+
 @query
 def request_key(spark, d):
     docs = fx.cited_documents(spark, d)
@@ -1007,9 +1032,8 @@ def inferred_new_only(spark, d):
 @query
 def stream_extract(spark, d):
     schema = fx.read(spark, d, "documents").schema
-    docs = intake.arriving(spark, d, schema, "documents.parquet")
-    cited = docs.selectExpr(*[f"{e} AS {n}" for n, e in fx.CITED_DOCUMENTS.items()])
-    return intake.run_to_table(intake.extract_stream(cited), "mentions")
+    docs = fx.project(intake.files_as_they_come(spark, d, schema, "documents.parquet"), fx.CITED_DOCUMENTS)
+    return intake.take_in(docs, intake.extract_stream, _new_folder(spark, "mentions"), 8)
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake.sources.keyed import BUCKETS, KeyedTable
+
 TTL_DAYS = 30
 
 
@@ -26,3 +28,14 @@ def within_ttl(rows: DataFrame, as_of: Column, days: int = TTL_DAYS) -> DataFram
 def write_cache(rows: DataFrame, path: str) -> None:
     """Store a cache version; the markup column is not stored."""
     rows.drop("html").write.mode("overwrite").parquet(path)
+
+
+def stored_cache(spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS) -> KeyedTable:
+    """The cache as a stored table: ``merge`` takes new lookups, the latest of each key stays."""
+    return KeyedTable(spark, path, schema, ["cache_key"], ["ts", "event_id", "value"], buckets)
+
+
+def upsert_stream(lookups: DataFrame, table: KeyedTable, state: str) -> None:
+    """Merge a stream of lookups into the stored cache, batch by batch; a batch that runs twice changes nothing."""
+    query = lookups.writeStream.foreachBatch(lambda batch, _: table.merge(batch)).option("checkpointLocation", state)
+    query.trigger(availableNow=True).start().awaitTermination()

@@ -76,6 +76,8 @@ _LATEST = (
     "SELECT cache_key, ts, event_id, value FROM cache QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, event_id DESC) = 1"
 )
 ORACLE["cache_upsert_latest"] = ctes(cache=fx.sql("events", fx.LOOKUP_CACHE)) + _LATEST
+ORACLE["cache_upsert_stored"] = ORACLE["cache_upsert_latest"]
+ORACLE["stream_cache_upsert"] = ORACLE["cache_upsert_latest"]
 ORACLE["cache_ttl_filter"] = ctes(cache=fx.sql("events", fx.LOOKUP_CACHE)) + (
     f"SELECT * FROM ({_LATEST}) WHERE ts >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 2 DAYS"
 )
