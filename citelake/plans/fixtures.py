@@ -289,6 +289,20 @@ RESPONSES = {
     f" ELSE {_FULL} END",
 }
 
+_DOC_NO = "CAST(doc_id % 40 + 1 AS STRING)"
+ANSWERED_DOCUMENTS = {
+    "doc_id": "doc_id",
+    "text": "replace(text, chr(160), ' ') || CASE doc_id % 3"
+    f" WHEN 0 THEN ' y la LEY ' || {_DOC_NO} || '/2015, art ' || {_DOC_NO} || ' CE fin'"
+    f" WHEN 1 THEN ' la Ley' || chr(10) || '  ' || {_DOC_NO} || '/2015 y ART.  ' || {_DOC_NO} || ' C.E fin' ELSE ' nada' END",
+}
+DOCUMENT_RESPONSES = {
+    "doc_id": "doc_id",
+    "raw": f"'{{\"referencias\": [{{\"texto_completo\": \"Ley ' || {_DOC_NO} || '/2015\", \"tipo\": \"ley\", \"confianza\": 90}},"
+    f" {{\"texto_completo\": \"art. ' || {_DOC_NO} || ' C.E.\", \"tipo\": \"articulo\", \"confianza\": 80}},"
+    " {\"texto_completo\": \"Ley 77/1777\", \"tipo\": \"ley\", \"confianza\": 70}]}'",
+}
+
 # -- payloads, references and names ---------------------------------------------------------------------
 
 BROKEN_TOPICS = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citelake import dims
 from citelake.functions import legal, markup, text
 from citelake.operators import (
-    audit, consensus, dedupe, extract, filters, infer, laws, normalize, registry, report, requests, resolve, whole,
+    audit, consensus, dedupe, extract, filters, infer, laws, locate, normalize, registry, report, requests, resolve, whole,
 )
 from citelake.plans import fixtures as fx
 from citelake.session import checkpoint_dir
@@ -329,6 +329,13 @@ def model_responses_parse(spark, d):
     return requests.parse_responses(fx.project(fx.read(spark, d, "orders"), fx.RESPONSES))
 
 
+@query
+def locate_mentions(spark, d):
+    docs = fx.read(spark, d, "documents")
+    answers = requests.parse_responses(fx.project(docs, fx.DOCUMENT_RESPONSES))
+    return locate.locate(fx.project(docs, fx.ANSWERED_DOCUMENTS), answers, 40)
+
+
 @query
 def request_usage(spark, d):
     calls = fx.project(fx.read(spark, d, "events"), fx.MODEL_CALLS)

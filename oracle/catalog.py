@@ -243,6 +243,15 @@ ORACLE["model_responses_parse"] = (
     f" UNION ALL SELECT doc_id, CAST(length(pre) AS INTEGER), text, 'ley', n || '/2015', NULL, 80, true FROM ({_BROKEN})"
     f" UNION ALL SELECT doc_id, CAST(length(pre) + length(text) + length('\", \"tipo\": \"ley\", \"ley\": \"') AS INTEGER), text, 'ley', n || '/2015', NULL, 80, true FROM ({_BROKEN})"
 )
+_LOOSE = "'(?is)^(.*?)' || replace(replace(replace(m, '.', chr(92) || '.?'), ' ', chr(92) || 's+'), '/', '/')"
+ORACLE["locate_mentions"] = ctes(docs=fx.sql("documents", fx.ANSWERED_DOCUMENTS), wanted=(
+    "SELECT doc_id, text AS body, unnest(['Ley ' || CAST(doc_id % 40 + 1 AS VARCHAR) || '/2015', 'art. ' || CAST(doc_id % 40 + 1 AS VARCHAR) || ' C.E.', 'Ley 77/1777']) AS m FROM docs"
+), placed=(
+    f"SELECT *, CASE WHEN instr(lower(body), lower(m)) > 0 THEN instr(lower(body), lower(m)) WHEN regexp_matches(body, {_LOOSE}) THEN length(regexp_extract(body, {_LOOSE}, 1)) + 1 ELSE 0 END AS place FROM wanted"
+)) + (
+    "SELECT doc_id, m AS text, CAST(place AS INTEGER) AS place, CASE WHEN place > 0 THEN CASE WHEN place > 41 THEN '...' ELSE '' END || substr(body, greatest(place - 40, 1), place - 1 + 40 - greatest(place - 41, 0))"
+    " || CASE WHEN place + 39 < length(body) THEN '...' ELSE '' END END AS context FROM placed"
+)
 ORACLE["request_usage"] = ctes(calls=fx.sql("events", fx.MODEL_CALLS)) + (
     "SELECT agent, count(*) AS calls, CAST(sum(length(prompt) // 4) AS BIGINT) AS tokens, count(*) FILTER (failed) AS errors, round(avg(ms), 6) AS mean_ms FROM calls GROUP BY agent"
 )
