@@ -9,7 +9,8 @@ gradient is reversed. The prior is the toxic share of the labelled rows of the l
 the mean of the members' probabilities.
 
 Defined results: null and empty texts get the score of a document without features; rows with a null id
-are scored, never held out and never learned from; an id labelled toxic by any row is toxic; without
+are scored, never held out and never learned from; an id labelled toxic by any row is toxic and is learned
+from the smallest of its texts; without
 positives every score is 0. Labels, language, source and id never enter a score.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm import words as W
+from citelake.llm.store import Scratch
 
 POSITIVE = 4_000
 UNLABELLED = 8_000
@@ -54,13 +56,15 @@ def features(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def choose(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(doc_id, positive) of the rows to learn from, at most ``POSITIVE + UNLABELLED``; and the prior."""
+    """(doc_id, positive) of the documents to learn from, at most ``POSITIVE + UNLABELLED`` distinct ones; and the
+    prior. An id counts once however often it occurs, and labels without a document are no examples."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
-    positive = known.where("toxic = 1").select("doc_id").orderBy(*order).limit(POSITIVE).withColumn("positive", F.lit(1))
-    free = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").orderBy(*order).limit(UNLABELLED)
-    return positive.unionByName(free.distinct().withColumn("positive", F.lit(0))), float(prior)
+    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
+    positive = known.where("toxic = 1").join(ids, "doc_id", "left_semi").select("doc_id").orderBy(*order).limit(POSITIVE)
+    free = ids.orderBy(*order).limit(UNLABELLED)
+    return positive.withColumn("positive", F.lit(1)).unionByName(free.withColumn("positive", F.lit(0))), float(prior)
 
 
 def _scan(rows: DataFrame, body, schema: str) -> DataFrame:
@@ -133,8 +137,10 @@ def train(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n: int, prio
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifiers. The driver holds ``FEATURES`` names and the selected features of the chosen rows."""
     chosen, prior = choose(docs, labels)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "positive", "doc_id")
-    size = {r.positive: r.n for r in chosen.groupBy("positive").agg(F.count("*").alias("n")).toLocalIterator()}
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text of each id: an id may hold a third of all rows
+    rows = Scratch(docs.sparkSession).put(rows.groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("text", "positive", "doc_id"))
+    size = {r.positive: r.n for r in rows.groupBy("positive").agg(F.count("*").alias("n")).toLocalIterator()}
     np_, nu = size.get(1, 0), size.get(0, 0)
     if not np_ or not nu:
         return Model(np.zeros(0, W.U), np.zeros((0, 0)), np.zeros(0))

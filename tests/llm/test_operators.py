@@ -404,3 +404,16 @@ def test_pipeline(spark, small):
     columns = spark.read.parquet(f"{small}/documents.parquet").columns
     assert out.columns == [*columns, "shard"] and out.count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_a_hot_id_leaves_the_unlabelled_sample_whole(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 60)
+    first = {r.id: r.h for r in spark.range(500).selectExpr("id", "xxhash64(id, 3) AS h").collect()}
+    hot = min((i for i in range(500) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: first[i])
+    rows = [(hot, f"text {k}") for k in range(2000)] + [(i, f"plain words {i}") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(400)] + [(10_000, 1)], "doc_id long, toxic int")
+    chosen = [tuple(r) for r in toxicity.choose(d, m)[0].collect()]
+    assert len({i for i, p in chosen if not p}) == 60 and len(chosen) == len(set(chosen))
+    assert (hot, 0) in chosen and 10_000 not in {i for i, _ in chosen}
+    assert toxicity.score_toxicity(d, m).count() == len(rows)
