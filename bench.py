@@ -1,4 +1,7 @@
-"""Headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; one JSON line."""
+"""Headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; one JSON line.
+
+``scaling`` is each query's time there over its time on ``$BENCH_SMALL_DIR`` (the ``sf0.01`` beside it).
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,15 @@ HEADLINE = [
 ]
 
 
+def timed(spark, names: list[str], sf_dir: str) -> dict[str, float]:
+    seconds = {}
+    for name in names:
+        begin = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        seconds[name] = round(time.perf_counter() - begin, 3)
+    return seconds
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -28,11 +40,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # start the engine
-    seconds = {}
-    for name in names:
-        begin = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - begin, 3)
+    seconds = timed(spark, names, sf_dir)
+    small = os.environ.get("BENCH_SMALL_DIR", os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01"))
+    scaling = {}
+    if os.path.isdir(small) and os.path.abspath(small) != os.path.abspath(sf_dir):
+        scaling = {name: round(seconds[name] / spent, 2) for name, spent in timed(spark, names, small).items()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     mentions = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     rates = {}
@@ -43,7 +55,7 @@ def main() -> None:
             rates[f"mentions_per_sec_{name}"] = round(mentions / seconds[name], 1)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "rates": rates, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "queries": seconds, "rates": rates, "scaling": scaling, "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
 
 
