@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citelake.functions.legal import canonical_key, normalize_article
 from citelake.functions.text import fold_accents, normal_text, none_if_empty, squeeze
 from citelake.operators.groups import connected
-from citelake.session import cut_lineage
+from citelake.session import cut_lineage, drop_cut
 
 
 def agent_rank(agent: Column) -> Column:
@@ -76,13 +76,16 @@ def greedy_first(rows: DataFrame, values: Column) -> DataFrame:
         kept = kept.unionByName(winners.select("doc_id", "__at.mention_id"))
         # the winners hold their own values, so this closes them together with their rivals
         taken = winners.select("doc_id", F.explode("__values").alias("__value"), F.lit(True).alias("__taken"))
-        open_rows = cut_lineage(
+        rest = cut_lineage(
             holders.join(taken, ["doc_id", "__value"], "left")
             .groupBy("doc_id", "__at", "__values")
             .agg(F.count("__taken").alias("__hits"))
             .where(F.col("__hits") == 0)
             .select("doc_id", "__at", "__values")
         )
+        drop_cut(open_rows)
+        open_rows = rest
+    drop_cut(open_rows)
     return rows.join(kept, ["doc_id", "mention_id"], "left_semi")
 
 
@@ -226,6 +229,7 @@ def converge(
         found = newest if found is None else found.unionByName(newest)
         if step > rungs and newest.isEmpty():
             break
+    drop_cut(candidates)
     return found
 
 
