@@ -15,11 +15,12 @@ A retrieved item counts as leaked if its question (all but the last sentence) an
 sentence; of one sentence the last third) both overlap with the document around the passage.
 
 The items are taken in blocks of at most ``BLOCK_BYTES`` of text; each block is one index, sent to the
-executors, and one pass over the documents. Document frequencies are those of the block.
+executors as a broadcast, and one pass over the documents. Number, mean length and document frequencies are those of
+all items, counted by Spark, so that an item's weights do not depend on how the items fall into blocks.
 
 Defined results: null and empty texts match nothing; items without tokens are never found; items with
 equal texts are all reported; an item of one or two tokens is compared token by token; repeated
-documents are each reported; documents without an id are reported with a null id.
+documents are each reported; an empty table on either side gives no leak; documents without an id are reported with a null id.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelake.llm import words as W
+from citelake.llm.store import Scratch
 
 PASSAGE = 64  # tokens
 ENTRY = 48  # tokens; at most 3/4 of a passage
@@ -72,9 +74,17 @@ def _entries(tokens: np.ndarray) -> list[np.ndarray]:
 
 
 class Index:
-    """Inverted index of one block of items, with block maxima."""
+    """Inverted index of one block of items, with block maxima.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    ``figures``: number of items with tokens, their mean length, and items by token; those of the block if not given.
+    """
+
+    def __init__(
+        self,
+        items: list[tuple[int, str]],
+        threshold: float = THRESHOLD,
+        figures: tuple[int, float, dict[int, int]] | None = None,
+    ):
         self.threshold = threshold - 1e-9
         items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0))
         rows: list[tuple[int, np.ndarray, int]] = []
@@ -99,18 +109,18 @@ class Index:
         self.length = np.array([len(r[1]) for r in rows], np.int64)
         self.question = [_ngrams(r[1][: r[2]]) for r in rows]
         self.answer = [_ngrams(r[1][r[2] :]) for r in rows]
-        self._weigh([r[1] for r in rows])
+        self._weigh([r[1] for r in rows], figures)
 
-    def _weigh(self, rows: list[np.ndarray]) -> None:
-        df: dict[int, int] = defaultdict(int)
+    def _weigh(self, rows: list[np.ndarray], figures) -> None:
+        here: dict[int, int] = defaultdict(int)
         for r in rows:
             for t in np.unique(r).tolist():
-                df[t] += 1
+                here[t] += 1
+        n, mean, df = figures or (len(rows), float(self.length.mean()) if len(rows) else 1.0, here)
         entries = [(item, e) for item, r in enumerate(rows) for e in _entries(r)]
         self.item = [item for item, _ in entries]  # of each entry
-        n, mean = len(rows), float(self.length.mean()) if len(rows) else 1.0
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        common_first = sorted(df, key=lambda t: (-df[t], t))
+        common_first = sorted(here, key=lambda t: (-here[t], t))
         for entry, (_, tokens) in enumerate(entries):
             terms, tf = np.unique(tokens, return_counts=True)
             k = K1 * (1 - B + B * len(tokens) / mean)
@@ -122,7 +132,7 @@ class Index:
             for t, v in impact.items():
                 postings[t].append((entry, v / total))
         # Terms by falling document frequency are set aside while no entry has too much weight in them.
-        essential = set(df)
+        essential = set(here)
         spent = np.zeros(len(entries))
         for t in common_first:
             grown = [(entry, spent[entry] + v) for entry, v in postings[t]]
@@ -263,18 +273,53 @@ class Index:
         return low, np.minimum(low + PASSAGE, starts[row + 1]), row, number
 
 
+def _tokens(items: DataFrame) -> DataFrame:
+    """(block, length, token) of the distinct tokens of every item; the first of an item carries its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in W.runs(batch.column(0)):
+                tokens = texts.tokens(W.ALNUM, W.LOWER)
+                pairs = np.unique(np.stack((tokens.doc.astype(np.int64), tokens.hash.view(np.int64)), 1), axis=0)
+                first = np.ones(len(pairs), bool)
+                first[1:] = pairs[1:, 0] != pairs[:-1, 0]
+                length = np.bincount(tokens.doc, minlength=len(texts))[pairs[:, 0]]
+                block = batch.column(1).slice(texts.first, len(texts)).take(pa.array(pairs[:, 0]))
+                yield pa.RecordBatch.from_arrays(
+                    [block, pa.array(np.where(first, length, 0), pa.int64()), pa.array(pairs[:, 1], pa.int64())],
+                    ["block", "length", "token"],
+                )
+
+    return items.select("text", "block").mapInArrow(run, "block long, length long, token long")
+
+
 def indexes(items: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
     """One index per block of items; a block is at most about ``BLOCK_BYTES`` of text on the driver."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    if blocks == 1:  # the block's own figures are those of all items
+        yield Index([(r.item_id, r.text) for r in items.toLocalIterator()], threshold)
+        return
+    scratch = Scratch(items.sparkSession)
+    tokens = scratch.put(_tokens(items))
+    n, length = tokens.agg(F.count_if(F.col("length") > 0), F.sum("length")).first()
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    of_block = scratch.put(tokens.select("block", "token").distinct().join(df, "token"))
+    scratch.drop(tokens)
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index([(r.item_id, r.text) for r in part.toLocalIterator()], threshold)
+        known = {r.token % (1 << 64): r.df for r in of_block.where(F.col("block") == k).toLocalIterator()}
+        part = items.where(F.col("block") == k)
+        yield Index([(r.item_id, r.text) for r in part.toLocalIterator()], threshold, (n, (length or 0) / max(n, 1), known))
+    scratch.drop(of_block)
 
 
 def _scan(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             for texts in W.runs(batch.column(0)):
                 found = list(index.leaks(texts, overlap))
@@ -301,8 +346,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item leaked; one pass for each block."""
 
-    def keep(index: Index):
+    def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 for texts in W.runs(batch.column(0)):
                     good = np.ones(len(texts), bool)
@@ -316,5 +362,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
         picked = docs.select(F.col("text").alias("__text"), *columns)
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-        docs = picked.mapInArrow(keep(index), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = picked.mapInArrow(keep(shared), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
     return docs
