@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citelake.operators.joins import join_hot, left_join_hot
 from citelake.operators.laws import concepts_in
 
 
 def detect_concepts(docs: DataFrame, concepts: list[str], cited: DataFrame | None = None, concept_laws: DataFrame | None = None) -> DataFrame:
     """Concepts found in the whole text. A concept whose law the document cites is left out.
 
-    ``cited(doc_id, boe_id)`` and ``concept_laws(concept, boe_id)`` say which concepts are covered.
+    ``cited(doc_id, boe_id)`` and ``concept_laws(concept, boe_id)`` say which concepts are covered; with them
+    there is one row per document and concept. Only laws of concepts found in a document are looked up among its
+    citations, so a much-cited law is no key of its own.
     """
     found = docs.select("doc_id", F.explode(F.array_distinct(concepts_in(F.col("text"), concepts))).alias("concept"))
     if cited is None or concept_laws is None:
         return found
-    covered = cited.join(concept_laws.select("concept", "boe_id"), "boe_id").select("doc_id", "concept").distinct()
-    return found.join(covered, ["doc_id", "concept"], "left_anti")
+    laws = concept_laws.select(F.col("concept").alias("__concept"), "boe_id").distinct()
+    asked = left_join_hot(found, laws, {"concept": "__concept"}, "doc_id")
+    known = cited.select("doc_id", "boe_id").distinct().withColumn("__cited", F.lit(1))
+    marked = asked.join(known, ["doc_id", "boe_id"], "left").groupBy("doc_id", "concept").agg(F.max("__cited").alias("__cited"))
+    return marked.where(F.col("__cited").isNull()).drop("__cited")
 
 
 def spread_ranges(concept_map: DataFrame, minimum: int = 70) -> DataFrame:
@@ -34,7 +40,7 @@ def spread_ranges(concept_map: DataFrame, minimum: int = 70) -> DataFrame:
 
 def concept_ranges(found: DataFrame, ranges: DataFrame) -> DataFrame:
     """Article ranges of the concepts found in each document."""
-    return found.join(ranges, "concept")
+    return join_hot(found, ranges.withColumnRenamed("concept", "__concept"), {"concept": "__concept"}, "doc_id")
 
 
 def validate_ranges(ranges: DataFrame, law_articles: DataFrame | None, share: float = 0.5) -> DataFrame:

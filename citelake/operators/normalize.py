@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citelake import dims
 from citelake.functions import legal
 from citelake.functions.text import FOLD, first_group
+from citelake.operators.joins import join_hot, left_join_hot
 
 
 def alias_dictionary(rows: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def alias_laws(rows: DataFrame) -> DataFrame:
 def acronym_to_law(mentions: DataFrame, laws: DataFrame) -> DataFrame:
     """Law of an acronym in any case; of several entries the first wins."""
     first = laws.groupBy(F.upper(F.trim("alias")).alias("__k")).agg(F.min_by("law", "ord").alias("alias_law"))
-    return mentions.withColumn("__key", F.upper(F.trim("text"))).join(first, F.col("__key") == F.col("__k"), "left").drop("__k", "__key")
+    keyed = mentions.withColumn("__key", F.upper(F.trim("text")))
+    return left_join_hot(keyed, first.where(F.col("__k").isNotNull()), {"__key": "__k"}, "mention_id").drop("__key")
 
 
 def acronym_key(text: Column) -> Column:
@@ -71,14 +73,15 @@ def expand_acronyms(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     def words(c: Column) -> Column:
         return F.array_distinct(F.split(F.lower(c), r"[\s,]+"))
 
-    scored = asked.join(dictionary, F.col("__key") == F.col("alias")).withColumn(
+    known = dictionary.where(F.col("alias").isNotNull())
+    scored = join_hot(asked, known, {"__key": "alias"}, "context").withColumn(
         "__score", F.size(F.array_intersect(words(F.col("meaning")), words(F.coalesce("context", F.lit("")))))
     )
     best = scored.groupBy(F.col("__key").alias("__k"), F.col("context").alias("__c")).agg(
         F.min_by("meaning", F.struct(-F.col("__score"), F.col("ord"), F.col("meaning"))).alias("meaning"),
         F.max("meanings").alias("meanings"),
     )
-    joined = keyed.join(best, (F.col("__key") == F.col("__k")) & F.col("context").eqNullSafe(F.col("__c")), "left")
+    joined = left_join_hot(keyed, best, {"__key": "__k", "context": "__c"}, "mention_id")
     return joined.select(
         *mentions.columns,
         F.when(F.col("meaning").isNotNull(), F.col("__key")).alias("acronym"),

@@ -251,11 +251,12 @@ def enrich_eu(mentions: DataFrame, eu_acts: DataFrame) -> DataFrame:
     """EU mentions with CELEX, link, and title when the act is known; unknown acts keep their CELEX."""
     keyed = mentions.withColumn("celex", legal.derive_celex(F.col("text")))
     acts = eu_acts.select(F.col("celex").alias("__c"), F.col("title").alias("eu_title"))
-    joined = keyed.join(acts, F.col("celex") == F.col("__c"), "left")
-    return joined.where(F.col("celex").isNotNull()).select(
+    known = acts.where(F.col("__c").isNotNull()).withColumn("__there", F.lit(True))
+    joined = left_join_hot(keyed.where(F.col("celex").isNotNull()), known, {"celex": "__c"}, mentions.columns)
+    return joined.select(
         *keyed.columns,
         legal.eu_url(F.col("celex"), F.lit("ES")).alias("eu_url"),
-        F.col("__c").isNotNull().alias("act_exists"),
+        F.col("__there").isNotNull().alias("act_exists"),
         "eu_title",
     )
 
