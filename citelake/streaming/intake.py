@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,15 @@ def files_as_they_come(spark: SparkSession, path: str, schema, pattern: str) ->
     return source.option("maxFileAge", "36500d").parquet(path)
 
 
+def table_as_it_comes(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Stream of the Parquet table at ``path``, one file or a folder of files, whatever their times say.
+
+    The path is given as a pattern that only it matches: a stream lists a pattern's file, or the files of its folder.
+    """
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(pattern)
+
+
 def once_only(batch: DataFrame, number: int, seen: KeyedTable) -> DataFrame:
     """Documents of a batch that no earlier batch had, each once; what is new is noted in ``seen``.
 
@@ -69,7 +79,13 @@ def take_in(docs: DataFrame, work: Callable[[DataFrame], DataFrame], base: str,
     query = docs.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     query.start().awaitTermination()
     schema = work(docs).schema
-    return spark.read.schema(schema).option("basePath", f"{base}/rows").parquet(f"{base}/rows").select(schema.names)
+    try:
+        rows = spark.read.schema(schema).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)  # nothing has arrived yet
+    return rows.select(schema.names)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

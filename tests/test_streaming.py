@@ -87,3 +87,18 @@ def test_intake_takes_files_with_old_times(spark, tmp_path):
         os.utime(part, (0, 0))
     run()
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_stream_queries_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("stream_extract", "stream_cache_upsert", "stream_job_windows"):
+        folder, file = QUERIES[query](spark, str(tmp_path)), QUERIES[query](spark, sf_dir)
+        assert folder.count() == file.count() > 0
+        assert folder.exceptAll(file).isEmpty()
+
+
+def test_intake_of_nothing_is_empty(spark, tmp_path):
+    (tmp_path / "docs.parquet").mkdir()
+    docs = intake.table_as_it_comes(spark, str(tmp_path / "docs.parquet"), "doc_id long, text string")
+    assert intake.take_in(docs, intake.extract_stream, str(tmp_path / "out"), 2).isEmpty()
