@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelake.functions.text import rounded
 from citelake.operators.ordered import number_rows
 
 HIGH, MEDIUM = 90, 70
@@ -26,15 +27,15 @@ def confidence_columns() -> list[Column]:
     medium = F.count_if((conf >= MEDIUM) & (conf < HIGH))
     return [
         total.alias("total"),
-        F.round(F.avg(conf), 6).alias("mean_confidence"),
+        rounded(F.avg(conf), 6).alias("mean_confidence"),
         F.min(conf).alias("min_confidence"),
         F.max(conf).alias("max_confidence"),
         high.alias("high"),
         medium.alias("medium"),
         low.alias("low"),
-        F.round(100.0 * high / total, 6).alias("high_pct"),
-        F.round(100.0 * medium / total, 6).alias("medium_pct"),
-        F.round(100.0 * low / total, 6).alias("low_pct"),
+        rounded(100.0 * high / total, 6).alias("high_pct"),
+        rounded(100.0 * medium / total, 6).alias("medium_pct"),
+        rounded(100.0 * low / total, 6).alias("low_pct"),
     ]
 
 
@@ -43,8 +44,8 @@ def validation_columns() -> list[Column]:
     return [
         ok.alias("validated"),
         (total - ok).alias("not_validated"),
-        F.round(ok / total, 6).alias("rate"),
-        F.round(100.0 * ok / total, 6).alias("validated_pct"),
+        rounded(ok / total, 6).alias("rate"),
+        rounded(100.0 * ok / total, 6).alias("validated_pct"),
         F.count_if(F.coalesce(F.col("boe_id") != "", F.lit(False))).alias("ids_found"),
     ]
 
@@ -55,7 +56,7 @@ def coverage_columns() -> list[Column]:
     return [
         laws.alias("laws"),
         articles.alias("articles"),
-        F.when(articles > 0, F.round(laws / articles, 6)).otherwise(F.lit(float("inf"))).alias("law_article_ratio"),
+        F.when(articles > 0, rounded(laws / articles, 6)).otherwise(F.lit(float("inf"))).alias("law_article_ratio"),
     ]
 
 
@@ -91,7 +92,7 @@ def profile(mentions: DataFrame) -> DataFrame:
 
 
 def one_decimal(c: Column) -> Column:
-    return F.round(c, 1).cast("string")
+    return rounded(c, 1).cast("string")
 
 
 def _rule(severity: str, name: str, condition: Column, description: Column, action: str) -> Column:
@@ -174,12 +175,12 @@ def grade_columns() -> list[Column]:
     )
     emoji = F.when(note >= 8, F.lit("🌟")).when(note >= 6, F.lit("✅")).when(note >= 4, F.lit("⚠️")).otherwise(F.lit("❌"))
     return [
-        F.round(F.round(note, 6), 1).alias("grade"),
+        rounded(rounded(note, 6), 1).alias("grade"),
         level.alias("level"),
         emoji.alias("emoji"),
-        F.round(by_confidence, 1).alias("confidence_factor"),
-        F.round(by_validation, 1).alias("validation_factor"),
-        F.round(by_coverage.cast("double"), 1).alias("coverage_factor"),
+        rounded(by_confidence, 1).alias("confidence_factor"),
+        rounded(by_validation, 1).alias("validation_factor"),
+        rounded(by_coverage.cast("double"), 1).alias("coverage_factor"),
     ]
 
 

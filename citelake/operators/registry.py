@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citelake import dims
 from citelake.functions import legal
-from citelake.functions.text import FOLD, first_group, none_if_empty
+from citelake.functions.text import FOLD, first_group, none_if_empty, rounded
 from citelake.operators.joins import left_join_hot
 
 
@@ -188,7 +188,7 @@ def validation_stats(mentions: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(validated).alias("validated"),
         F.count_if(~validated).alias("not_validated"),
-        F.round(F.count_if(validated) / F.count(F.lit(1)), 6).alias("rate"),
+        rounded(F.count_if(validated) / F.count(F.lit(1)), 6).alias("rate"),
         F.count_if(F.coalesce(F.col("boe_id") != "", F.lit(False))).alias("with_id"),
         F.count_if(F.coalesce(legal.article_format_valid(F.col("article")), F.lit(False))).alias("with_valid_article"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake import dims
+from citelake.functions.text import rounded
 
 TERMINAL = ("completed", "failed", "cancelled")
 ACTIVE = ("pending", "running")
@@ -55,8 +56,8 @@ def job_stats(log: DataFrame) -> DataFrame:
         F.count_if(done).alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status").isin(*ACTIVE)).alias("active"),
-        F.round(F.count_if(done) / total, 6).alias("success_rate"),
-        F.round(F.coalesce(F.avg(F.when(done, F.col("seconds"))), F.lit(0.0)), 6).alias("mean_seconds"),
+        rounded(F.count_if(done) / total, 6).alias("success_rate"),
+        rounded(F.coalesce(F.avg(F.when(done, F.col("seconds"))), F.lit(0.0)), 6).alias("mean_seconds"),
         F.coalesce(F.sum(F.when(done, F.floor("progress"))), F.lit(0)).alias("extracted"),
     )
 
@@ -74,7 +75,7 @@ def job_windows(log: DataFrame, size: str = "1 hour", slide: str | None = None,
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     return (
         timed.groupBy(window, "status")
-        .agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("progress"), 6).alias("mean_progress"))
+        .agg(F.count(F.lit(1)).alias("events"), rounded(F.avg("progress"), 6).alias("mean_progress"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "status", "events", "mean_progress")
     )
 

@@ -1,5 +1,6 @@
 """Consensus and audit demos, and their invariants on the given tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from citelake.operators import audit, consensus, dedupe, report
@@ -58,3 +59,11 @@ def test_report_order_on_disk(spark, tmp_path, sf_dir):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     heads = [x for x in lines if x.startswith("**Tema:** ")]
     assert len(heads) == len(set(heads)) == blocks.select("doc_id").distinct().count()
+
+
+def test_ratio_is_rounded_as_its_sql_does(spark):
+    ties = [(41, 640), (82, 1280), (323, 640), (333, 640), (1, 128)]
+    rows = [(b * 1000 + a, "ley" if i < a else "articulo") for a, b in ties for i in range(a + b)]
+    got = {r.doc_id: r.law_article_ratio for r in audit.audit_coverage(spark.createDataFrame(rows, "doc_id long, kind string")).collect()}
+    con = duckdb.connect()
+    assert got == {b * 1000 + a: con.sql(f"SELECT round({a} / {b}, 6)").fetchall()[0][0] for a, b in ties}
