@@ -86,3 +86,26 @@ def test_convergence(spark):
     assert got == {(1, "a"): 1, (1, "b"): 2, (2, "c"): 3, (1, "x"): 4, (1, "y"): 5}
     short = {r["key"] for r in dedupe.converge(found, 3, expand, max_rounds=4).collect()}
     assert short == {"a", "b", "c", "x"}
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_walk_and_passes_give_the_same_rows_and_the_walk_sends_them_once(spark, monkeypatch):
+    df = spark.createDataFrame(mentions(seed=11) + mentions(60, seed=11), SCHEMA)  # some ids twice
+    old = df.where("start < 80")
+    results = {}
+    for walked in (10_000, 60, 0):  # all walked, the large document in passes, all in passes
+        monkeypatch.setattr(dedupe, "WALKED", walked, raising=False)
+        out = dedupe.dedupe_text_or_law(df), dedupe.new_texts_or_laws(df.where("start >= 80"), old)
+        results[walked] = [sorted(map(repr, x.collect())) for x in out]
+        if walked == 10_000:
+            assert [joins(x) for x in out] == [0, 0]
+    assert results[10_000] == results[60] == results[0]
+    assert all(results[0])
+
+
+def test_rows_without_a_document_end(spark):
+    rows = [(None, "m0", "A", "t", None, None, None, 1, 90), (1, "m1", "A", "t", None, None, None, 1, 90)]
+    assert [r.mention_id for r in dedupe.dedupe_text_or_law(spark.createDataFrame(rows, SCHEMA)).collect()] == ["m1"]
