@@ -68,3 +68,13 @@ def test_null_keys(spark):
     df = spark.createDataFrame([(None, 1, 5, "a", 0), (None, 2, 9, None, 0), (1, 3, 7, None, 0)], SCHEMA)
     got = {r["id"]: r["out"] for r in ordered.fill_forward(df, ["k"], "pos", F.col("v"), "out", 4).collect()}
     assert got == {1: None, 2: "a", 3: None}
+
+
+def test_scans_send_their_rows_once_and_nulls_are_a_key(spark):
+    rows = [(k, i, i) for k in (None, 1, 2) for i in range(25)]
+    df = spark.createDataFrame(rows, "k long, o long, payload long")
+    out = ordered.number_rows(df, ["k"], "o", "n", 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(sent) == 4  # the rows; block counts, their scan and their join
+    assert sorted((r.k or 0, r.o, r.n) for r in out.collect()) == sorted((k or 0, i, i + 1) for k, i, _ in rows)
