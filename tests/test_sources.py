@@ -74,3 +74,20 @@ def test_cache_upsert(spark, tmp_path):
     assert [r["cache_key"] for r in kept.collect()] == [1]
     cache.write_cache(rows.withColumn("html", F.lit("x")), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).columns == ["cache_key", "ts", "event_id", "value"]
+
+
+def test_a_task_reads_a_short_split_and_smaller_settings_stay(spark, sf_dir):
+    from citelake.sources.tables import SPLIT, read_spread, read_table
+
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        for read in (read_table, read_spread):
+            for given, want in (("256MB", str(SPLIT)), ("1m", "1m")):
+                for k in keys:
+                    spark.conf.set(k, given)
+                read(spark, f"{sf_dir}/lineitem.parquet")
+                assert [spark.conf.get(k) for k in keys] == [want, want]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
