@@ -73,3 +73,10 @@ def test_alias_chains_end_when_nothing_is_new(spark):
         return newest.join(edges, "key").select("doc_id", F.col("next").alias("key"))
 
     assert dedupe.converge(found, 1, expand).count() == 9
+
+
+def test_reports_read_their_enriched_mentions_from_one_table(spark, sf_dir):
+    from citelake.plans.queries import QUERIES
+
+    for name in ("report_markdown_enriched", "report_text_inferred"):
+        assert not [f for f in QUERIES[name](spark, sf_dir).inputFiles() if "lineitem" in f]
