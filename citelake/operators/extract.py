@@ -1,4 +1,4 @@
-"""Documents to mentions. Every profile is evaluated in one scan, in one projection."""
+"""Documents to mentions. A text is walked once; every profile is evaluated on what that walk leaves, in one projection."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citelake import dims
 from citelake.functions.legal import is_noise
-from citelake.functions.text import FOLD, find_in, first_group, mark, prepare
+from citelake.functions.text import CLOSE, FOLD, find_in, first_group, mark, prepare
 
 #: columns of an extracted mention
 COLUMNS = ["doc_id", "mention_id", "agent", "kind", "text", "law", "article", "confidence", "implicit", "start"]
@@ -55,20 +55,83 @@ def _article(rule: tuple) -> Column:
     return F.regexp_extract("text", FOLD + pattern, 1) if kind == "articulo" else F.lit(None).cast("string")
 
 
+#: A place in the first word of every match of a profile, of ``ARTICLE_LAW`` and of ``EU_ACT``, and in the "Decreto" that a
+#: "Ley" must not follow. All begin with one of six letters, where need be inside the word; the first two letters are
+#: classes, because a class is looked up, while a folded letter converts every character of the text twice.
+_ANCHOR = (
+    r"(?=[aAcCdDlLpPrR])(?:"
+    r"[aA](?:[rR]t(?:[íi]culo|\.)?(?=\s)|i?\b(?<=\b(?:ai|ia)))"
+    r"|[cC](?:[oO]nstitución(?=\s)|[óÓ]digo(?=\s)|[eE]\b(?<=\bce)|[aA]lía\b(?<=\bfiscalía))"
+    r"|[dD](?:[eE]c(?:isión|reto(?=[\s-]))|irectiva|[mM]a\b(?<=\bdma)|sa\b(?<=\bdsa)|[aA]s\b(?<=\beidas)|2\b(?<=\bpsd2))"
+    r"|[lL](?:[eE](?:y(?=\s)|c\b(?<=\blec))|[aA]ecsp\b(?<=\blaecsp)|[jJ]ca\b(?<=\bljca)|[pP]ac\b(?<=\blpac)|[rR]jsp\b(?<=\blrjsp))"
+    r"|[rR](?:[eE](?:al(?=\s)|glamento)|[dD]l?(?=\s)|[gG]pd\b(?<=\brgpd)|[oO]ma\b(?<=\broma)|[uU]selas\b(?<=\bbruselas)|\b(?<=\bgdpr))"
+    r"|[pP]po\b(?<=\beppo))"
+)
+
+#: How a word begins that a match goes on with: a match holds the beginning of each of its words but the first.
+_ONWARD = (
+    r"(?:[\d()-]|de|la|ley|orgánica|real|legislativo|española|civil|penal|rd|art|constitución|código|reglamento|marco|ue|n[oº]|"
+    r"ce|cc|cp|le|lpac|lrjsp|ljca|lopj|laecsp|rgpd|gdpr|roma|bruselas|i|bis|eidas|d[ms]a|ai|act|directiva|pif|pnr|psd2|"
+    r"concentraciones|fiscalía|europea|eppo)"
+)
+
+#: all that the rules of this module may match, so that a text is walked once for all of them
+STRETCH = rf"{_ANCHOR}\S*+(?:\s++{_ONWARD}\S*+)*+"
+
+
+def _stretches_in(pieces: Column) -> Column:
+    """Matches of ``STRETCH`` with the beginning of their first word, which the text before them ends with."""
+
+    def whole(m: Column, before: Column) -> Column:
+        lead = F.substring_index(F.substring_index(before, CLOSE, -1), " ", -1)
+        return F.struct((m["start"] - F.length(lead)).alias("at"), F.concat(lead, m["text"]).alias("text"))
+
+    return F.zip_with(find_in(pieces), F.slice(pieces, F.lit(1), F.size(pieces) - 1), whole)
+
+
+def stretches(docs: DataFrame, keep: tuple[str, ...] = (), window: int | None = None) -> DataFrame:
+    """The short parts of ``docs(doc_id, text)`` that hold all mentions: ``at``, their 0-based place, and ``text``.
+
+    The rules are tried on these parts and find what they would find in the text: a match lies in one part, which
+    begins and ends with a word. With ``window`` each part has ``wide``, the raw text up to ``window`` characters around it from
+    the place ``wide_at``, and ``chars``, the length of the whole text.
+    """
+    raw = ["text"] if window is not None else []
+    marked = docs.select("doc_id", *keep, *raw, mark(prepare(F.col("text")), FOLD + STRETCH).alias("__p"))
+    if window is None:
+        return marked.select("doc_id", *keep, F.inline(_stretches_in(F.col("__p"))))
+
+    def around(m: Column) -> Column:
+        wide_at = F.greatest(m["at"] - window, F.lit(0))
+        wide = F.substring(F.col("text"), wide_at + 1, m["at"] + F.length(m["text"]) + window - wide_at)
+        return F.struct(m["at"], m["text"], wide_at.alias("wide_at"), wide.alias("wide"))
+
+    found = marked.select("doc_id", *keep, F.length("text").alias("chars"), "text", _stretches_in(F.col("__p")).alias("__m"))
+    return found.select("doc_id", *keep, "chars", F.inline(F.transform("__m", around)))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """Places in the text instead of places in its stretches."""
+    return found.withColumn("start", F.col("at") + F.col("start")).drop("at")
+
+
+def _cut(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs if "at" in docs.columns else stretches(docs, keep)
+
+
 def extract(docs: DataFrame, agents: tuple[str, ...] = dims.AGENTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Mentions of ``docs(doc_id, text)`` by the rule profiles of ``agents``.
+    """Mentions of ``docs(doc_id, text)``, or of their :func:`stretches`, by the rule profiles of ``agents``.
 
-    ``keep`` names document columns to carry along, for instance the text for context windows.
+    ``keep`` names document columns to carry along.
     """
     rules = [r for r in dims.PROFILE_PATTERNS if r[0] in agents]
     kept = [f"__{c}" for c in keep]
-    prepared = docs.select(
-        "doc_id", *[F.col(c).alias(f"__{c}") for c in keep], prepare(F.col("text")).alias("text")
-    ).withColumn("__numbered", F.col("text").rlike(_NUMBER))
+    whole = docs.select(*docs.columns, *[F.col(c).alias(f"__{c}") for c in keep])
+    prepared = _cut(whole, tuple(kept)).withColumn("__numbered", F.col("text").rlike(_NUMBER))
     # one marked and cut array per pattern, in a projection of its own, so that no pattern runs
     # twice; patterns that need a norm number are not tried on a text that has none
     marked = prepared.select(
-        "doc_id", *kept, F.array(*[_marked(i, r[2]) for i, r in enumerate(rules)]).alias("__marked")
+        "doc_id", "at", *kept, F.array(*[_marked(i, r[2]) for i, r in enumerate(rules)]).alias("__marked")
     )
     found = F.flatten(
         F.transform(
@@ -79,7 +142,7 @@ def extract(docs: DataFrame, agents: tuple[str, ...] = dims.AGENTS, keep: tuple[
             ),
         )
     )
-    mentions = marked.select("doc_id", *kept, F.inline(found))
+    mentions = _placed(marked.select("doc_id", "at", *kept, F.inline(found)))
     described = mentions.select(
         "doc_id",
         *kept,
@@ -108,8 +171,8 @@ ARTICLE_LAW = (
 def extract_article_law(docs: DataFrame) -> DataFrame:
     """Full-form mentions: an article together with its law."""
     pattern = FOLD + ARTICLE_LAW
-    marked = docs.select("doc_id", mark(prepare(F.col("text")), pattern).alias("__p"))
-    return marked.select("doc_id", F.inline(find_in(F.col("__p")))).select(
+    marked = _cut(docs).select("doc_id", "at", mark(F.col("text"), pattern).alias("__p"))
+    return _placed(marked.select("doc_id", "at", F.inline(find_in(F.col("__p"))))).select(
         "doc_id",
         "start",
         "text",
@@ -130,8 +193,8 @@ EU_ACT = _eu_act()
 
 def extract_eu(docs: DataFrame) -> DataFrame:
     """Mentions of EU acts."""
-    marked = docs.select("doc_id", mark(prepare(F.col("text")), FOLD + EU_ACT).alias("__p"))
-    return marked.select("doc_id", F.inline(find_in(F.col("__p"))))
+    marked = _cut(docs).select("doc_id", "at", mark(F.col("text"), FOLD + EU_ACT).alias("__p"))
+    return _placed(marked.select("doc_id", "at", F.inline(find_in(F.col("__p")))))
 
 
 #: phrases that point back at a law or an article named before
@@ -186,11 +249,15 @@ def context_window(text: Column, place: Column, window: int = 1500) -> Column:
 
 
 def with_context(docs: DataFrame, window: int = 1500) -> DataFrame:
-    """Mentions with the context of their own place. The text stays in its row; no text is shuffled."""
-    placed = extract(docs, keep=("text",)).withColumn("place", F.col("start") + 1)
-    return placed.withColumn(
-        "context", context_window(F.col("doc_text"), F.col("place"), window)
-    ).drop("doc_text")
+    """Mentions with the context of their own place. A stretch takes the text around it along; no text is shuffled."""
+    parts = stretches(docs, window=window)
+    carried = ("wide", "wide_at", "chars")
+    placed = extract(parts, keep=carried).withColumn("place", F.col("start") + 1)
+    begin = F.greatest(F.col("start") - window, F.lit(0))
+    end = F.least(F.col("chars"), F.col("start") + window)
+    body = F.substring(F.col("wide"), begin - F.col("wide_at") + 1, end - begin)
+    before, after = F.when(begin > 0, F.lit("...")), F.when(end < F.col("chars"), F.lit("..."))
+    return placed.withColumn("context", F.concat(F.coalesce(before, F.lit("")), body, F.coalesce(after, F.lit("")))).drop(*carried)
 
 
 def drop_noise(mentions: DataFrame) -> DataFrame:
