@@ -55,3 +55,9 @@ def test_every_rule_is_tried_on_stretches_alone(spark):
     for found in (extract.extract(docs), extract.extract_eu(docs), extract.extract_article_law(docs), extract.with_context(docs)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("(?=[aAcCdDlLpPrR])") == 1
+
+
+def test_normalize_mentions_reads_its_stretches_from_a_table(spark, sf_dir):
+    from citelake.plans.queries import QUERIES
+
+    assert not [f for f in QUERIES["normalize_mentions"](spark, sf_dir).inputFiles() if "documents" in f]
