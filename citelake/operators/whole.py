@@ -56,10 +56,11 @@ def mention_key() -> Column:
 def found_mentions(docs: DataFrame, law_articles: DataFrame | None = None) -> DataFrame:
     """Mentions of all profiles and of EU acts with normal form, CELEX, registry id, validation and ``key``.
 
-    ``docs(doc_id, text)``. Noise goes first. An EU act with a CELEX is valid. The table is written once, so that
-    consensus, audit and reports read it instead of the texts.
+    ``docs(doc_id, text)``. The texts are walked once, for their stretches. Noise goes first. An EU act with a CELEX is
+    valid. The table is written once, so that consensus, audit and reports read it instead of the texts.
     """
-    raw = with_acts(extract.drop_noise(extract.extract(docs)), docs)
+    parts = cut_lineage(extract.stretches(docs))
+    raw = with_acts(extract.drop_noise(extract.extract(parts)), parts)
     valid = registry.validate_mentions(normalize.normalize_mentions(raw), law_articles)
     act = F.col("celex").isNotNull()
     valid = valid.withColumn("validated", F.col("validated") | act).withColumn("reason", F.when(~act, F.col("reason")))
