@@ -31,6 +31,8 @@ def _marked(rule: int, pattern: str) -> Column:
     pieces = mark(F.col("text"), FOLD + guard + pattern)
     if _NUMBER[2:] in pattern:
         pieces = F.when(F.col("__numbered"), pieces)
+    if pattern[:2].isalpha():
+        pieces = F.when(F.contains("__lower", F.lit(pattern[:2].lower())), pieces)
     return F.struct(F.lit(rule).alias("rule"), pieces.alias("pieces"))
 
 
@@ -127,9 +129,10 @@ def extract(docs: DataFrame, agents: tuple[str, ...] = dims.AGENTS, keep: tuple[
     rules = [r for r in dims.PROFILE_PATTERNS if r[0] in agents]
     kept = [f"__{c}" for c in keep]
     whole = docs.select(*docs.columns, *[F.col(c).alias(f"__{c}") for c in keep])
-    prepared = _cut(whole, tuple(kept)).withColumn("__numbered", F.col("text").rlike(_NUMBER))
+    prepared = _cut(whole, tuple(kept)).withColumn("__numbered", F.col("text").rlike(_NUMBER)).withColumn("__lower", F.lower("text"))
     # one marked and cut array per pattern, in a projection of its own, so that no pattern runs
-    # twice; patterns that need a norm number are not tried on a text that has none
+    # twice; patterns that need a norm number are not tried on a text that has none, nor those that
+    # begin with two letters on a text without them (none of these letters has a third form)
     marked = prepared.select(
         "doc_id", "at", *kept, F.array(*[_marked(i, r[2]) for i, r in enumerate(rules)]).alias("__marked")
     )

@@ -61,3 +61,18 @@ def test_normalize_mentions_reads_its_stretches_from_a_table(spark, sf_dir):
     from citelake.plans.queries import QUERIES
 
     assert not [f for f in QUERIES["normalize_mentions"](spark, sf_dir).inputFiles() if "documents" in f]
+
+
+def test_whole_way_walks_its_texts_once(spark, monkeypatch):
+    from citelake.operators import whole
+
+    docs = spark.createDataFrame([(1, "art. 5 de la Ley 39/2015 y el RGPD")], "doc_id long, text string")
+    calls, real = [], extract.stretches
+    monkeypatch.setattr(extract, "stretches", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert whole.found_mentions(docs).count() > 0 and len(calls) == 1
+
+
+def test_rules_are_tried_where_their_first_letters_are(spark):
+    docs = spark.createDataFrame([(1, "LEC")], "doc_id long, text string")
+    plan = extract.extract(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(__lower" in plan or "Contains(" in plan or "contains(" in plan.lower()
