@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citelake.functions.legal import canonical_key, law_form, normalize_article
 from citelake.functions.text import FOLD, first_group, none_if_empty
 from citelake.operators import dedupe, extract, filters, normalize, registry, resolve
+from citelake.operators.joins import left_join_hot
 from citelake.session import cut_lineage
 
 _EU_ARTICLE = FOLD + r"^art(?:ículo|iculo|\.)?\s+(\d+)\s+del?\s"
@@ -19,30 +20,47 @@ def with_acts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
 
     An article takes the law named right after it; one that begins the mention of an EU act takes the whole
     text of that mention. The articles that are left take the document's principal law, where there is one.
+    ``found`` is the text that a rule matched, which names the mention.
     """
     acts = extract.extract_eu(docs)
     by_law = extract.extract_article_law(docs).select("doc_id", "start", F.col("law").alias("__law"))
     places = by_law.join(acts.select("doc_id", "start", F.col("text").alias("__act")), ["doc_id", "start"], "full")
-    of_act = (F.col("kind") == "articulo") & F.col("__act").isNotNull()
-    of_law = (F.col("kind") == "articulo") & F.col("__act").isNull()
-    placed = mentions.join(places, ["doc_id", "start"], "left")
-    known = placed.select(
-        "doc_id", "mention_id", "agent", "kind", F.when(of_act, F.col("__act")).otherwise(F.col("text")).alias("text"),
-        F.when(of_law, F.coalesce("law", "__law")).otherwise(F.col("law")).alias("law"), "article", "confidence", "start",
-        of_act.alias("__eu"),
-    )
-    kind, agent = F.lit("reglamento"), F.lit("C")
     own = acts.select(
-        "doc_id", extract.mention_id(F.col("doc_id"), agent, kind, F.col("start"), F.col("text")).alias("mention_id"),
-        agent.alias("agent"), kind.alias("kind"), "text", F.lit(None).cast("string").alias("law"),
-        first_group(F.col("text"), _EU_ARTICLE).alias("article"), F.lit(_EU_CONFIDENCE).alias("confidence"), "start", F.lit(True).alias("__eu"),
+        "doc_id", F.lit("C").alias("agent"), F.lit("reglamento").alias("kind"), F.col("text").alias("found"), "text",
+        F.lit(None).cast("string").alias("law"), first_group(F.col("text"), _EU_ARTICLE).alias("article"),
+        F.lit(_EU_CONFIDENCE).alias("confidence"), "start", F.lit(True).alias("__eu"),
+    )
+    # no other mention begins where an article or an act does
+    of_act = F.col("__act").isNotNull()
+    placed = mentions.where(F.col("kind") == "articulo").join(places, ["doc_id", "start"], "left").select(
+        "doc_id", "agent", "kind", F.col("text").alias("found"), F.coalesce("__act", "text").alias("text"),
+        F.when(of_act, F.col("law")).otherwise(F.coalesce("law", "__law")).alias("law"), "article", "confidence", "start", of_act.alias("__eu"),
     )
-    rows = cut_lineage(known.unionByName(own))
+    others = mentions.where(F.col("kind") != "articulo").select(
+        "doc_id", "agent", "kind", F.col("text").alias("found"), "text", "law", "article", "confidence", "start", F.lit(False).alias("__eu")
+    )
+    rows = cut_lineage(placed.unionByName(others).unionByName(own))
     form = F.coalesce(law_form(F.col("law"))[0], law_form(F.col("text"))[0], F.col("law"))
-    principal = resolve.principal_law(rows.withColumn("law", F.when(F.col("law").isNotNull(), form))).select("doc_id", "principal_law")
-    bare = (F.col("kind") == "articulo") & ~F.col("__eu")
-    joined = rows.join(principal, "doc_id", "left")
-    return joined.withColumn("law", F.when(bare, F.coalesce("law", "principal_law")).otherwise(F.col("law"))).drop("principal_law", "__eu")
+    lawful = rows.where(F.col("law").isNotNull())
+    principal = resolve.principal_law(lawful.withColumn("law", form)).select("doc_id", "principal_law")
+    bare = (F.col("kind") == "articulo") & ~F.col("__eu") & F.col("law").isNull()
+    led = rows.where(bare).join(principal, "doc_id", "left").withColumn("law", F.col("principal_law")).drop("principal_law")
+    return rows.where(~bare).unionByName(led).drop("__eu")
+
+
+#: what the normal form, the registry id and the validation of a mention depend on
+_ASKED = ["kind", "text", "law", "article"]
+
+
+def _judged(mentions: DataFrame, law_articles: DataFrame | None) -> DataFrame:
+    """Mentions with normal form, CELEX, registry id and validation, worked out once per distinct kind, text, law and article."""
+    keys = {c: f"asked_{c}" for c in _ASKED}
+    asked = cut_lineage(mentions.select(*_ASKED).distinct())
+    named = asked.select("*", *[F.col(c).alias(k) for c, k in keys.items()], F.xxhash64(*_ASKED).alias("mention_id"))
+    valid = registry.validate_mentions(normalize.normalize_mentions(named), law_articles)
+    answers = valid.drop("mention_id", "kind", "text", "article")
+    rows = mentions.withColumnRenamed("law", "__named")
+    return left_join_hot(rows, answers, {"__named" if c == "law" else c: k for c, k in keys.items()}, ["doc_id", "start"]).drop("__named")
 
 
 def mention_key() -> Column:
@@ -57,14 +75,15 @@ def found_mentions(docs: DataFrame, law_articles: DataFrame | None = None) -> Da
     """Mentions of all profiles and of EU acts with normal form, CELEX, registry id, validation and ``key``.
 
     ``docs(doc_id, text)``. The texts are walked once, for their stretches. Noise goes first. An EU act with a CELEX is
-    valid. The table is written once, so that consensus, audit and reports read it instead of the texts.
+    valid. Mentions are written before the last join alone: who reads the result more than once writes what is read.
     """
     parts = cut_lineage(extract.stretches(docs))
     raw = with_acts(extract.drop_noise(extract.extract(parts)), parts)
-    valid = registry.validate_mentions(normalize.normalize_mentions(raw), law_articles)
+    valid = _judged(raw, law_articles)
     act = F.col("celex").isNotNull()
     valid = valid.withColumn("validated", F.col("validated") | act).withColumn("reason", F.when(~act, F.col("reason")))
-    return cut_lineage(valid.withColumn("key", mention_key()))
+    identity = extract.mention_id(*[F.col(c) for c in ("doc_id", "agent", "kind", "start", "found")])
+    return valid.withColumn("key", mention_key()).withColumn("mention_id", identity).drop("found")
 
 
 def accepted(found: DataFrame, minimum: int = 70) -> DataFrame:

@@ -80,3 +80,12 @@ def test_reports_read_their_enriched_mentions_from_one_table(spark, sf_dir):
 
     for name in ("report_markdown_enriched", "report_text_inferred"):
         assert not [f for f in QUERIES[name](spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
+def test_validation_is_worked_out_once_per_distinct_mention(spark, monkeypatch):
+    rows = docs(spark, *["Según la Ley 39/2015, artículo 5 de la Ley 40/2015 y el RGPD, artículo 7."] * 20)
+    sizes, real = [], whole.registry.validate_mentions
+    monkeypatch.setattr(whole.registry, "validate_mentions", lambda m, *a: sizes.append(m.count()) or real(m, *a))
+    found = whole.found_mentions(rows).collect()
+    assert len(sizes) == 1 and sizes[0] * 20 <= len(found)
+    assert len({r["mention_id"] for r in found}) == len(found) and len({(r["key"], r["law"], r["text"]) for r in found}) <= sizes[0]
