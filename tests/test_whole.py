@@ -89,3 +89,23 @@ def test_validation_is_worked_out_once_per_distinct_mention(spark, monkeypatch):
     found = whole.found_mentions(rows).collect()
     assert len(sizes) == 1 and sizes[0] * 20 <= len(found)
     assert len({r["mention_id"] for r in found}) == len(found) and len({(r["key"], r["law"], r["text"]) for r in found}) <= sizes[0]
+
+
+def test_rules_see_each_distinct_stretch_once(spark, monkeypatch):
+    rows = docs(spark, *["Según la Ley 39/2015 y nada más; artículo 5 de la Ley 40/2015. Y el RGPD, según la Ley 39/2015."] * 20)
+    seen, real = [], extract.extract
+    monkeypatch.setattr(extract, "extract", lambda d, *a, **k: seen.append((d.count(), d.select("text").distinct().count())) or real(d, *a, **k))
+    found = whole.found_mentions(rows).collect()
+    assert seen == [(4, 4)]  # the last one ends with a full stop
+    assert sorted({r["start"] for r in found if r["text"] == "Ley 39/2015"}) == [9, 83]
+    assert len(found) % 20 == 0 and len({r["mention_id"] for r in found}) == len(found)
+
+
+def test_a_long_stretch_does_not_travel_with_its_mentions(spark):
+    rows = docs(spark, "Ley 39/2015 " * 3_000, "Ley 40/2015")
+    parts = extract.stretches(rows)
+    assert parts.selectExpr("max(length(text))").first()[0] > 30_000
+    strings = [F.max(F.length(c)) for c, kind in whole._hits(parts).dtypes if kind == "string"]
+    assert max(whole._hits(parts).select(F.greatest(*strings)).first()) < 100
+    got = whole.found_mentions(rows).groupBy("doc_id", "agent").count().collect()
+    assert sorted(map(tuple, got)) == [(d, a, n) for d, n in ((0, 3_000), (1, 1)) for a in "ABC"]
